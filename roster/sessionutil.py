@@ -1,0 +1,13 @@
+"""Small readers of session settings shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    value = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    try:
+        return max(1, int(value))
+    except ValueError:  # "auto" on some platforms
+        return 200
