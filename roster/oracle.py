@@ -84,4 +84,9 @@ def with_views(sql: str) -> str:
             needed.add(v)
             todo.extend(_deps(v))
     ctes = [f"{v} as ({VIEW_SQL[v]})" for v in VIEW_ORDER if v in needed]
-    return (f"with {', '.join(ctes)} " if ctes else "") + sql
+    body = sql.strip()
+    if not ctes:
+        return body
+    if re.match(r"(?i)with\s", body):
+        return f"with {', '.join(ctes)}, {body[5:].lstrip()}"
+    return f"with {', '.join(ctes)} {body}"

@@ -1,18 +1,23 @@
-"""Dense consecutive ids in a total order, computed without a single-partition window.
+"""Dense consecutive ids in a total order, computed without an unbounded single-partition window.
 
 ``row_number() over (order by ...)`` with no ``partition by`` moves every row into one task. Instead:
 
 1. range-partition the rows on the order columns into ``n`` partitions and sort inside each partition
    (the same work a distributed ``orderBy`` does);
 2. ``monotonically_increasing_id`` then carries (partition index, position inside the partition);
-3. count rows per partition (``n`` rows, after map-side partial counts) and turn the counts into
-   starting offsets with a running sum over those ``n`` rows;
-4. broadcast the ``n`` offsets (bounded by the partition count, not by the data) and add them.
+3. that tagged frame is written once with a reliable ``checkpoint()`` to the session's checkpoint folder.
+   Range bounds come from a sample whose seed differs between evaluations, so without pinning the rows
+   the count pass and the numbering pass could see different partitions; after the checkpoint both
+   read the same files, and a lost executor re-reads them instead of re-sampling;
+4. count rows per partition (``n`` rows) and turn the counts into starting offsets with a running sum
+   over those ``n`` rows, broadcast them (bounded by the partition count, not by the data) and add.
+
+Inputs proven small by a row-count check (``max_local_rows``) take a bounded single-task window instead,
+which needs no checkpoint.
 
-Both branches read the same range exchange, which Spark reuses, so the input is shuffled once.
 Rows that tie on the order columns may swap ids between runs, so callers order by columns that fix every
-output value (then ties are indistinguishable). ``tiebreak`` columns refine the order only to let the
-range partitioner split a hot key across partitions; they must not change which output row gets which id.
+output value (then ties are indistinguishable). ``tiebreak`` columns refine the order only to let the range
+partitioner split a hot key over several partitions; they must not change which output row gets which id.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roster.plans.broadcast import row_bound_holds
+from roster.session import ensure_checkpoint_dir
 from roster.sessionutil import shuffle_partitions
 
 _POS_BITS = 33
@@ -33,21 +40,28 @@ def _as_col(c: str | Column) -> Column:
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], id_col: str = "id", start: int | Column = 1,
-                tiebreak: Sequence[str | Column] = (), num_partitions: int | None = None) -> DataFrame:
+                tiebreak: Sequence[str | Column] = (), num_partitions: int | None = None,
+                max_local_rows: int = 0) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls last, as ANSI SQL engines
-    default), plus ``tiebreak`` as a refinement. ``start`` may be a literal or a scalar-subquery column."""
-    n = num_partitions or shuffle_partitions(df.sparkSession)
+    default), refined by ``tiebreak``. ``start`` may be a literal or a scalar-subquery column."""
     keys = [_as_col(c).asc_nulls_last() for c in list(order) + list(tiebreak)]
+    start_col = start if isinstance(start, Column) else F.lit(start)
+    if max_local_rows and row_bound_holds(df, max_local_rows):
+        # Proven small: one task over at most max_local_rows rows.
+        rn = F.row_number().over(Window.orderBy(*keys))
+        return df.withColumn(id_col, (start_col + rn - 1).cast("bigint"))
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
-              .withColumn("__rid", F.monotonically_increasing_id()))
+              .withColumn("__rid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     tagged = tagged.withColumn("__part", F.shiftright("__rid", _POS_BITS)) \
                    .withColumn("__pos", F.col("__rid").bitwiseAND(F.lit(_POS_MASK)))
     counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     # At most n rows (one per partition): a single-task running sum here is bounded by the partition count.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    start_col = start if isinstance(start, Column) else F.lit(start)
     out = (tagged.join(F.broadcast(offsets), "__part")
            .withColumn(id_col, (start_col + F.col("__off") + F.col("__pos")).cast("bigint")))
     return out.drop("__rid", "__part", "__pos", "__off")

@@ -177,3 +177,7 @@ register("next_ids", " union all ".join(
     ["phone", "address", "billing_period", "invoice_status", "sport", "schedule", "time_slot", "person",
      "class_group", "session", "enrollment", "attendance", "plan", "invoice", "schedule_slot", "cancellation"]))(
     counts.next_ids)
+
+
+# Change jobs register themselves on import (they use ``register`` above).
+from roster import registry_jobs  # noqa: E402,F401

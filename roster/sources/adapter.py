@@ -101,7 +101,7 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def schedule(cols):
         names = src("part").select(F.col("p_type").alias("name")).distinct()
-        return _typed(dense_index(names, ["name"]), "schedule")
+        return _typed(dense_index(names, ["name"], max_local_rows=bc.DEFAULT_MAX_ROWS), "schedule")
 
     def time_slot(cols):
         hours = src("events").select(F.hour("ts").alias("h")).distinct()
@@ -238,5 +238,6 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "plan": plan, "invoice": invoice, "schedule_slot": schedule_slot, "student_plan": student_plan,
         "cancellation": cancellation, "guardianship": guardianship, "teaches": teaches, "qualified": qualified,
     }
-    holder["tables"] = Tables(spark, builders)
+    sources = {name: (lambda name=name: src(name)) for name in SOURCE_SCHEMAS}
+    holder["tables"] = Tables(spark, builders, sources)
     return holder["tables"]

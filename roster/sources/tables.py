@@ -17,7 +17,8 @@ Builder = Callable[[tuple[str, ...] | None], DataFrame]
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, builders: Mapping[str, Builder]):
+    def __init__(self, spark: SparkSession, builders: Mapping[str, Builder],
+                 sources: Mapping[str, Callable[[], DataFrame]] | None = None):
         unknown = set(builders) - set(schema.TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -25,6 +26,7 @@ class Tables:
         self._builders: dict[str, Builder] = dict(builders)
         self._frames: dict[tuple[str, tuple[str, ...] | None], DataFrame] = {}
         self._small: dict[str, bool] = {}
+        self._sources = dict(sources or {})
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> "Tables":
@@ -48,6 +50,13 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.get(name)
 
+    def source(self, name: str) -> DataFrame:
+        """A raw input table the model was derived from (star-schema sources), for jobs whose change
+        batches come from the inputs."""
+        if name not in self._sources:
+            raise KeyError(f"no source table {name!r} behind these tables")
+        return self._sources[name]()
+
     def dim(self, name: str, *cols: str, max_rows: int = bc.DEFAULT_MAX_ROWS) -> DataFrame:
         """A dimension to join against: broadcast if its row count is checked to be within ``max_rows``,
         otherwise left to a shuffle join (and AQE). The check runs once per table and is remembered."""
@@ -62,4 +71,4 @@ class Tables:
         for name, df in frames.items():
             schema.table(name)
             builders[name] = lambda cols, df=df: df
-        return Tables(self.spark, builders)
+        return Tables(self.spark, builders, self._sources)
