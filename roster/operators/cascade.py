@@ -89,7 +89,7 @@ def delete_cascade(t: Tables, root: str, keys: DataFrame) -> DeleteResult:
             hit = gone.select(F.col(_key_of(fk)).alias("__gone")).distinct().withColumn("__hit", F.lit(True))
             base = changed.get(fk.child, t.get(fk.child))
             cols = base.columns
-            j = base.join(hit, base[fk.column] == hit["__gone"], "left")
+            j = base.join(hit, F.col(fk.column) == F.col("__gone"), "left")
             changed[fk.child] = j.select(*[
                 (F.when(F.col("__hit"), F.lit(None)).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c)
                  if c == fk.column else F.col(c)) for c in cols])

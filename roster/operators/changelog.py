@@ -24,16 +24,27 @@ def latest_per_key(changes: DataFrame, key: str | Sequence[str], order: Sequence
 
 def apply_changes(base: DataFrame | None, changes: DataFrame, key: str | Sequence[str], order: Sequence[str],
                   op_col: str, delete_ops: Sequence[str] = ("delete",),
-                  columns: Sequence[str] | None = None) -> DataFrame:
-    """New table state: ``base`` minus every changed key, plus the latest non-delete change of each key.
-    ``columns`` (default: all change columns but the key) are the table columns carried by a change."""
+                  columns: Sequence[str] | None = None, keep_deletes: bool = False) -> DataFrame:
+    """New table state after the change log.
+
+    ``columns`` (default: all change columns but the key) are the columns the state carries. When the
+    state carries the order and operation columns too, its rows compete with the new changes, so a change
+    that arrives late but is older than the stored row loses; ``keep_deletes=True`` keeps deleted keys as
+    tombstones so a late, older upsert cannot bring them back (used by the streaming wrapper). Otherwise the
+    base is a plain table: every changed key is replaced by its latest change or removed."""
     keys = [key] if isinstance(key, str) else list(key)
-    latest = latest_per_key(changes, keys, order)
     cols = list(columns) if columns is not None else [c for c in changes.columns if c not in keys]
-    # A NULL operation is not a delete (SQL: NULL NOT IN (...) is unknown, so the row is not removed).
-    upserts = latest.filter(~F.coalesce(F.col(op_col).isin(*delete_ops), F.lit(False)))
-    upserts = upserts.select(*keys, *cols)
-    if base is None:
-        return upserts
+    work = list(dict.fromkeys([*cols, *order, op_col]))
+    # A NULL operation is not a delete (SQL: NULL IN (...) is unknown, so the row is not removed).
+    is_delete = F.coalesce(F.col(op_col).isin(*delete_ops), F.lit(False))
+    versioned = base is not None and all(c in base.columns for c in work)
+    if base is None or versioned:
+        log = changes.select(*keys, *work)
+        if versioned:
+            log = base.select(*keys, *work).unionByName(log)
+        latest = latest_per_key(log, keys, order)
+        return (latest if keep_deletes else latest.filter(~is_delete)).select(*keys, *cols)
+    latest = latest_per_key(changes.select(*keys, *work), keys, order)
+    upserts = latest.filter(~is_delete).select(*keys, *cols)
     kept = base.join(latest.select(*keys), keys, "left_anti")
     return kept.unionByName(upserts.select(*base.columns))

@@ -93,7 +93,7 @@ def resolve_labels(t: Tables, kind: str) -> DataFrame:
         spec = LINKS[kind]
         pa = t.get("person", "id", "name").select(F.col("id").alias("_pa"), F.col("name").alias("a_name"))
         cl = t.get("class_group", "id", "name").select(F.col("id").alias("_pb"), F.col("name").alias("b_name"))
-        named = (ids.join(pa, ids[spec.a] == pa._pa).join(cl, ids[spec.b] == cl._pb)
+        named = (ids.join(pa, F.col(spec.a) == F.col("_pa")).join(cl, F.col(spec.b) == F.col("_pb"))
                  .select(F.col(spec.a).alias("a"), F.col(spec.b).alias("b"), "a_name", "id",
                          text.link_label(kind, "a_name", "b_name").alias("label")))
         order = F.struct("a_name", "id")

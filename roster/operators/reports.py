@@ -24,9 +24,10 @@ def _count(df: DataFrame):
 
 def kpi(t: Tables) -> DataFrame:
     """One row of eight indicators, each a scalar subquery (Catalyst merges those over the same table)."""
-    status = t.dim("invoice_status", "id", "name").filter(F.col("name").isin(*text.OPEN_STATUSES))
+    status = (t.dim("invoice_status", "id", "name").filter(F.col("name").isin(*text.OPEN_STATUSES))
+              .select(F.col("id").alias("__status")))
     inv = t.get("invoice", "status_id")
-    open_invoices = inv.join(status, inv.status_id == status.id).agg(F.count(F.lit(1))).scalar()
+    open_invoices = inv.join(status, F.col("status_id") == F.col("__status")).agg(F.count(F.lit(1))).scalar()
     classes = t.get("class_group", "capacity")
     seats = classes.agg(F.coalesce(F.sum("capacity"), F.lit(0)).cast("bigint")).scalar()
     return t.spark.range(1).select(
@@ -45,10 +46,11 @@ def occupancy(t: Tables, ordered: bool = True) -> DataFrame:
     """Classes that have a sport, with capacity and the number of enrolments (duplicates counted)."""
     enrolled = (t.get("enrollment", "student_id", "class_id")
                 .groupBy("class_id").agg(F.count("student_id").alias("enrolled")))
-    cls = t.get("class_group", "id", "name", "capacity", "sport_id")
-    sport = t.dim("sport", "id", "name")
-    named = cls.join(sport, cls.sport_id == sport.id).select(
-        cls.id.alias("class_id"), cls.name.alias("class_name"), sport.name.alias("sport_name"), cls.capacity)
+    cls = t.get("class_group", "id", "name", "capacity", "sport_id").select(
+        F.col("id").alias("class_id"), F.col("name").alias("class_name"), "capacity", "sport_id")
+    sport = t.dim("sport", "id", "name").select(F.col("id").alias("__sport"), F.col("name").alias("sport_name"))
+    named = cls.join(sport, F.col("sport_id") == F.col("__sport")).select(
+        "class_id", "class_name", "sport_name", "capacity")
     out = (named.join(enrolled, "class_id", "left")
            .select("class_id", "class_name", "sport_name", "capacity",
                    F.coalesce(F.col("enrolled"), F.lit(0)).alias("enrolled")))
@@ -59,9 +61,9 @@ def _money_report(facts: DataFrame, key: str, count_col: str, count_alias: str,
                   key_alias: str, name_alias: str, ordered: bool) -> DataFrame:
     agg = facts.groupBy(key).agg(F.count(count_col).alias(count_alias),
                                  F.sum("amount").cast(SUM_MONEY).alias("total"))
-    out = agg.join(lookup, agg[key] == lookup.id).select(
-        lookup.id.alias(key_alias), lookup.name.alias(name_alias), count_alias, "total",
-        text.brl("total").alias("total_brl"))
+    lk = lookup.select(F.col("id").alias("__lk"), F.col("name").alias(name_alias))
+    out = agg.join(lk, F.col(key) == F.col("__lk")).select(
+        F.col("__lk").alias(key_alias), name_alias, count_alias, "total", text.brl("total").alias("total_brl"))
     return out.orderBy(F.col("total").desc_nulls_last(), key_alias) if ordered else out
 
 
@@ -82,8 +84,8 @@ def seats_by_category(t: Tables, ordered: bool = True) -> DataFrame:
     FALSE and NULL stay two rows that both read 'Individual'."""
     per_sport = (t.get("class_group", "sport_id", "capacity")
                  .groupBy("sport_id").agg(F.sum("capacity").alias("seats")))
-    sport = t.dim("sport", "id", "is_team")
-    j = per_sport.join(sport, per_sport.sport_id == sport.id)
+    sport = t.dim("sport", "id", "is_team").select(F.col("id").alias("__sport"), "is_team")
+    j = per_sport.join(sport, F.col("sport_id") == F.col("__sport"))
     out = (j.groupBy("is_team").agg(F.sum("seats").cast("bigint").alias("seats"))
            .select("is_team", text.category("is_team").alias("category"), "seats"))
     return out.orderBy(F.col("seats").desc_nulls_last(), F.col("is_team").asc_nulls_last()) if ordered else out
@@ -92,10 +94,10 @@ def seats_by_category(t: Tables, ordered: bool = True) -> DataFrame:
 def instructor_load(t: Tables, ordered: bool = True) -> DataFrame:
     """Classes per instructor; instructors without classes are absent (inner joins)."""
     load = t.get("teaches").groupBy("instructor_id").agg(F.count("class_id").alias("classes"))
-    ins = t.get("instructor", "person_id")
-    person = t.get("person", "id", "name")
-    j = load.join(ins, load.instructor_id == ins.person_id).join(person, F.col("person_id") == person.id)
-    out = j.select(person.id.alias("instructor_id"), person.name.alias("instructor"), "classes")
+    ins = t.get("instructor", "person_id").select(F.col("person_id").alias("__ins"))
+    person = t.get("person", "id", "name").select(F.col("id").alias("__pid"), F.col("name").alias("instructor"))
+    j = load.join(ins, F.col("instructor_id") == F.col("__ins")).join(person, F.col("__ins") == F.col("__pid"))
+    out = j.select(F.col("__pid").alias("instructor_id"), "instructor", "classes")
     return out.orderBy(F.col("classes").desc(), "instructor_id") if ordered else out
 
 

@@ -22,7 +22,7 @@ NAMED_TABLES = ("class_group", "sport", "plan", "schedule")
 def _role_people(t: Tables, role: str, person_cols=PERSON_FIELDS, role_cols=()) -> DataFrame:
     r = t.get(role, "person_id", *role_cols)
     p = t.get("person", *person_cols)
-    return r.join(p, r.person_id == p.id).select(*[p[c] for c in person_cols], *[r[c] for c in role_cols])
+    return r.join(p, F.col("person_id") == F.col("id")).select(*person_cols, *role_cols)
 
 
 def student_roster(t: Tables, ordered: bool = True) -> DataFrame:
@@ -43,8 +43,8 @@ def class_roster(t: Tables, ordered: bool = True) -> DataFrame:
     cls = t.get("class_group", "id", "name", "capacity", "sport_id", "schedule_id")
     sport = t.dim("sport", "id", "name").withColumnRenamed("id", "s_id").withColumnRenamed("name", "sport")
     sched = t.dim("schedule", "id", "name").withColumnRenamed("id", "h_id").withColumnRenamed("name", "schedule")
-    j = (cls.join(sport, cls.sport_id == sport.s_id, "left")
-         .join(sched, cls.schedule_id == sched.h_id, "left"))
+    j = (cls.join(sport, F.col("sport_id") == F.col("s_id"), "left")
+         .join(sched, F.col("schedule_id") == F.col("h_id"), "left"))
     out = j.select("id", "name", "capacity", "sport", "schedule")
     return out.orderBy("id") if ordered else out
 
@@ -81,7 +81,7 @@ def lookup_student(t: Tables, keys: DataFrame | Iterable[int]) -> DataFrame:
     """Editable fields of the requested students (person joined with its student row)."""
     s = _keyed(t.get("student", "person_id", "enrolled_on", "health_note"), "person_id", keys)
     p = _keyed(t.get("person", *PERSON_FIELDS), "id", keys)
-    return s.join(p, s.person_id == p.id).select("id", "name", "tax_id", "email", "born_on",
+    return s.join(p, F.col("person_id") == F.col("id")).select("id", "name", "tax_id", "email", "born_on",
                                                  "enrolled_on", "health_note")
 
 

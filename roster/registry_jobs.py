@@ -223,12 +223,12 @@ def _update_students(t: Tables):
     s = t.get("student").join(t.get("guardianship", "student_id").withColumnRenamed("student_id", "person_id"),
                               "person_id", "left_semi")
     p = t.get("person")
-    ch = s.join(p, s.person_id == p.id).select(
+    ch = s.join(p, F.col("person_id") == F.col("id")).select(
         "id", F.upper("name").alias("name"), "tax_id", "email", "born_on", "enrolled_on",
         F.lit(text.DEFAULT_HEALTH_NOTE).alias("health_note"))
     new = changes.update_people(t, "student", ch)
     ns, np_ = new.get("student"), new.get("person")
-    return ns.join(np_, ns.person_id == np_.id).select("id", "name", "tax_id", "email", "born_on",
+    return ns.join(np_, F.col("person_id") == F.col("id")).select("id", "name", "tax_id", "email", "born_on",
                                                        "enrolled_on", "health_note")
 
 
@@ -252,11 +252,11 @@ def _update_instructors(t: Tables):
     i = t.get("instructor").join(t.get("teaches", "instructor_id").withColumnRenamed("instructor_id", "person_id"),
                                  "person_id", "left_semi")
     p = t.get("person")
-    ch = i.join(p, i.person_id == p.id).select("id", F.upper("name").alias("name"), "tax_id",
+    ch = i.join(p, F.col("person_id") == F.col("id")).select("id", F.upper("name").alias("name"), "tax_id",
                                                F.lower("email").alias("email"), "born_on")
     new = changes.update_people(t, "instructor", ch)
     ni, np_ = new.get("instructor"), new.get("person")
-    return ni.join(np_, ni.person_id == np_.id).select("id", "name", "tax_id", "email", "born_on")
+    return ni.join(np_, F.col("person_id") == F.col("id")).select("id", "name", "tax_id", "email", "born_on")
 
 
 register("update_instructors", """

@@ -78,7 +78,7 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def address(cols):
         n, r = src("nation"), src("region")
-        j = n.join(r, n.n_regionkey == r.r_regionkey)
+        j = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
         return _typed(j.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("street"),
                                F.col("r_name").alias("district"), F.col("n_name").alias("city"),
                                F.lit(None).cast("string").alias("complement")), "address")
@@ -137,18 +137,19 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
         # customer key, so the join adds no further shuffle.
         first = src("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
         cust = src("customer").groupBy("c_custkey").agg(F.min("c_mktsegment").alias("health_note"))
-        j = cust.join(first, cust.c_custkey == first.o_custkey, "left")
+        j = cust.join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
         return _typed(j.select((F.col("c_custkey") * 2).alias("person_id"),
                                F.col("first_order").cast("date").alias("enrolled_on"), "health_note"), "student")
 
     def class_group(cols):
         p = src("part")
-        sched = t().dim("schedule", "id", "name")
-        j = p.join(sched, sched.name == p.p_type)
+        sched = t().dim("schedule", "id", "name").select(F.col("id").alias("__sched"),
+                                                          F.col("name").alias("__sched_name"))
+        j = p.join(sched, F.col("__sched_name") == F.col("p_type"))
         sid = F.when((F.col("p_partkey") % 50 == 0) | (F.col("p_brand") == "Brand#25"), F.lit(None)) \
                .otherwise(_brand_no())
         return _typed(j.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
-                               F.col("p_size").alias("capacity"), sched.id.alias("schedule_id"),
+                               F.col("p_size").alias("capacity"), F.col("__sched").alias("schedule_id"),
                                sid.alias("sport_id")), "class_group")
 
     def session(cols):
@@ -227,7 +228,7 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def qualified(cols):
         te = t().get("teaches")
         p = src("part").select("p_partkey", "p_brand")
-        j = te.join(p, te.class_id == p.p_partkey)
+        j = te.join(p, F.col("class_id") == F.col("p_partkey"))
         return _typed(j.select(_brand_no().alias("sport_id"), "instructor_id").distinct(), "qualified")
 
     builders = {
