@@ -32,3 +32,21 @@ def next_ids(t: Tables) -> DataFrame:
     parts = [next_id(t.get(name, "id")).select(F.lit(name).alias("table_name"), "next_id")
              for name in t.names() if schema.table(name).primary_key == ("id",)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def schema_catalog(t: Tables) -> DataFrame:
+    """Declared schema of every table joined with what the data holds: one row per column with its type,
+    whether it is part of the key, the table it references, and its non-NULL count (one aggregate per table)."""
+    refs = {(fk.child, fk.column): fk.parent for fk in schema.FOREIGN_KEYS}
+    parts = []
+    for name in t.names():
+        spec = schema.table(name)
+        counted = t.get(name).agg(*[F.count(c).alias(c) for c in spec.columns])
+        for f in spec.schema.fields:
+            parts.append(counted.select(
+                F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
+                F.lit(f.dataType.simpleString()).alias("data_type"),
+                F.lit(f.name in spec.primary_key).alias("is_key"),
+                F.lit(refs.get((name, f.name))).cast("string").alias("references_table"),
+                F.col(f.name).alias("non_null")))
+    return reduce(DataFrame.unionByName, parts)

@@ -45,8 +45,9 @@ def named_links(t: Tables, kind: str) -> DataFrame:
                     text.link_label(kind, "a_name", "b_name").alias("label"))
 
 
-def links(t: Tables, kind: str, ordered: bool = True) -> DataFrame:
+def links(t: Tables, kind: str, ordered: bool = True, collation: str | None = None) -> DataFrame:
     out = named_links(t, kind)
     if ordered:
-        out = out.orderBy(F.col("a_name").asc_nulls_first(), "a", "b")
+        c = F.collate(F.col("a_name"), collation) if collation else F.col("a_name")
+        out = out.orderBy(c.asc_nulls_first(), "a", "b")
     return out.select("a", "b", "label")

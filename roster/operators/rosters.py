@@ -55,7 +55,14 @@ def sport_roster(t: Tables, ordered: bool = True) -> DataFrame:
     return out.orderBy("id") if ordered else out
 
 
-def labels(t: Tables, kind: str, ordered: bool = True) -> DataFrame:
+def name_order(col: str, collation: str | None = None):
+    """Sort key for a name: binary order by default (as DuckDB), or a Spark collation such as
+    'UNICODE_CI_AI' for the case- and accent-insensitive order of the source database."""
+    c = F.collate(F.col(col), collation) if collation else F.col(col)
+    return c.asc_nulls_first()
+
+
+def labels(t: Tables, kind: str, ordered: bool = True, collation: str | None = None) -> DataFrame:
     """'<id> - <name>' selection labels, by name. ``kind`` is a role (student, instructor, guardian) or a
     named table (class_group, sport, plan, schedule)."""
     if kind in ROLE_TABLES:
@@ -66,7 +73,7 @@ def labels(t: Tables, kind: str, ordered: bool = True) -> DataFrame:
         raise ValueError(f"no labels for {kind!r}")
     out = base.select("id", text.label("id", "name").alias("label"), "name")
     if ordered:
-        out = out.orderBy(F.col("name").asc_nulls_first(), "id")
+        out = out.orderBy(name_order("name", collation), "id")
     return out.select("id", "label")
 
 

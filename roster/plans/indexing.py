@@ -41,12 +41,15 @@ def _as_col(c: str | Column) -> Column:
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], id_col: str = "id", start: int | Column = 1,
                 tiebreak: Sequence[str | Column] = (), num_partitions: int | None = None,
-                max_local_rows: int = 0) -> DataFrame:
+                max_local_rows: int = 0, small: bool | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls last, as ANSI SQL engines
-    default), refined by ``tiebreak``. ``start`` may be a literal or a scalar-subquery column."""
+    default), refined by ``tiebreak``. ``start`` may be a literal or a scalar-subquery column. ``small``
+    passes the outcome of a row-count check (at most ``max_local_rows``) the caller already made."""
     keys = [_as_col(c).asc_nulls_last() for c in list(order) + list(tiebreak)]
     start_col = start if isinstance(start, Column) else F.lit(start)
-    if max_local_rows and row_bound_holds(df, max_local_rows):
+    if small is None:
+        small = bool(max_local_rows) and row_bound_holds(df, max_local_rows)
+    if small:
         # Proven small: one task over at most max_local_rows rows.
         rn = F.row_number().over(Window.orderBy(*keys))
         return df.withColumn(id_col, (start_col + rn - 1).cast("bigint"))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from roster import schema
 from roster.functions import text
-from roster.operators import cascade, changelog, changes, linking, quality, reports
+from roster.operators import cascade, changelog, changes, counts, linking, quality, reports
 from roster.operators.links import LINKS
 from roster.registry import register
+from roster.sources import parquet
 from roster.sources.tables import Tables
 
 RUN_DATE = "2024-01-01"
@@ -349,3 +350,33 @@ def _domains_oracle() -> str:
 register("check_pk", _keys_oracle())(quality.check_keys)
 register("check_fk", _refs_oracle())(quality.check_references)
 register("check_domains", _domains_oracle())(quality.check_domains)
+
+
+# ---------------------------------------------------------------- S3 / S5 load once, S4 catalog
+
+
+def _load_counts(t: Tables):
+    root = parquet.shared_model_folder(t)
+    parquet.load_once(t, root)
+    return counts.table_counts(parquet.read_tables(t.spark, root))
+
+
+register("load_counts", " union all ".join(
+    f"select '{n}' as table_name, count(*) as row_count from {n}" for n in schema.TABLE_NAMES))(_load_counts)
+
+
+def _catalog_oracle() -> str:
+    refs = {(fk.child, fk.column): fk.parent for fk in schema.FOREIGN_KEYS}
+    parts = []
+    for n in schema.TABLE_NAMES:
+        spec = schema.table(n)
+        for f in spec.schema.fields:
+            ref = refs.get((n, f.name))
+            parts.append(f"select '{n}' as table_name, '{f.name}' as column_name, "
+                         f"'{f.dataType.simpleString()}' as data_type, {str(f.name in spec.primary_key).lower()} as is_key, "
+                         f"{repr(ref) if ref else 'cast(null as varchar)'} as references_table, "
+                         f"count({f.name}) as non_null from {n}")
+    return " union all ".join(parts)
+
+
+register("schema_catalog", _catalog_oracle())(counts.schema_catalog)

@@ -101,7 +101,10 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def schedule(cols):
         names = src("part").select(F.col("p_type").alias("name")).distinct()
-        return _typed(dense_index(names, ["name"], max_local_rows=bc.DEFAULT_MAX_ROWS), "schedule")
+        # One row per name: the check that picks the numbering path also bounds the table for broadcast.
+        small = bc.row_bound_holds(names, bc.DEFAULT_MAX_ROWS)
+        t().mark_small("schedule", small)
+        return _typed(dense_index(names, ["name"], small=small), "schedule")
 
     def time_slot(cols):
         hours = src("events").select(F.hour("ts").alias("h")).distinct()
@@ -240,5 +243,5 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "cancellation": cancellation, "guardianship": guardianship, "teaches": teaches, "qualified": qualified,
     }
     sources = {name: (lambda name=name: src(name)) for name in SOURCE_SCHEMAS}
-    holder["tables"] = Tables(spark, builders, sources)
+    holder["tables"] = Tables(spark, builders, sources, origin=sf_dir)
     return holder["tables"]

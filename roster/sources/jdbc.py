@@ -96,3 +96,11 @@ def jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str] | None
     b = bounds or {}
     return Tables(spark, {n: (lambda cols, n=n: read_jdbc_table(spark, n, url, properties, b.get(n), num_partitions))
                           for n in schema.TABLE_NAMES})
+
+
+def snapshot_to_parquet(spark: SparkSession, url: str, root: str, properties: dict[str, str] | None = None,
+                        bounds: dict[str, tuple[int, int]] | None = None, num_partitions: int = 8) -> None:
+    """Copy every table of the source database into model Parquet folders under ``root`` (new folders;
+    the write fails rather than overwrite an existing snapshot)."""
+    from roster.sources.parquet import write_tables
+    write_tables(jdbc_tables(spark, url, properties, bounds, num_partitions), root)

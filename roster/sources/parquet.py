@@ -7,6 +7,7 @@ table; here every table is checked). Writes go to a new folder per table and nev
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -49,3 +50,12 @@ def load_once(t: Tables, root: str, names: Iterable[str] | None = None) -> list[
             t.get(name).write.mode("overwrite").parquet(table_path(root, name))
             written.append(name)
     return written
+
+
+def shared_model_folder(t: Tables) -> str:
+    """Folder for the loaded model of ``t``'s origin, inside the session's checkpoint directory (the shared
+    folder the cluster names in ``spark.checkpoint.dir``)."""
+    from roster.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(t.spark).rstrip("/")
+    tag = hashlib.sha1((t.origin or "unknown").encode()).hexdigest()[:16]
+    return f"{base}/roster-model/{tag}"

@@ -18,7 +18,7 @@ Builder = Callable[[tuple[str, ...] | None], DataFrame]
 
 class Tables:
     def __init__(self, spark: SparkSession, builders: Mapping[str, Builder],
-                 sources: Mapping[str, Callable[[], DataFrame]] | None = None):
+                 sources: Mapping[str, Callable[[], DataFrame]] | None = None, origin: str | None = None):
         unknown = set(builders) - set(schema.TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -27,6 +27,7 @@ class Tables:
         self._frames: dict[tuple[str, tuple[str, ...] | None], DataFrame] = {}
         self._small: dict[str, bool] = {}
         self._sources = dict(sources or {})
+        self.origin = origin   # where the tables were derived from (names the load-once folder)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> "Tables":
@@ -65,10 +66,14 @@ class Tables:
         df = self.get(name, *cols)
         return bc.fixed(df) if self._small[name] else df
 
+    def mark_small(self, name: str, small: bool) -> None:
+        """Record a row-count check already made for ``name`` (so ``dim`` need not repeat it)."""
+        self._small[name] = small
+
     def replace(self, **frames: DataFrame) -> "Tables":
         """A new version with some tables replaced (the change jobs return these)."""
         builders = dict(self._builders)
         for name, df in frames.items():
             schema.table(name)
             builders[name] = lambda cols, df=df: df
-        return Tables(self.spark, builders, self._sources)
+        return Tables(self.spark, builders, self._sources, self.origin)
