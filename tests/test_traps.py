@@ -70,3 +70,12 @@ def test_null_fk_never_matches_a_delete(spark):
     res = delete_cascade(t, "address", keys)
     people = {r.id: r.address_id for r in res.changed["person"].collect()}
     assert people[11] is None and people[2] is None and people[1] == 1 and len(people) == 11
+
+
+def test_collation_option_orders_case_and_accent_insensitively(spark):
+    people = [(i, n, None, None, None, None, None) for i, n in [(1, "ana"), (2, "Bia"), (3, "Álvaro"), (4, "Ana")]]
+    t = _with(spark, person=people, student=[(i, None, None) for i in range(1, 5)])
+    binary = [r.id for r in rosters.labels(t, "student").collect()]
+    folded = [r.id for r in rosters.labels(t, "student", collation="UNICODE_CI_AI").collect()]
+    assert binary == [4, 2, 1, 3]          # 'A' < 'B' < 'a' < 'Á'
+    assert folded == [3, 1, 4, 2]          # Álvaro, ana, Ana (ties by id), Bia
