@@ -63,7 +63,7 @@ def insert_people(t: Tables, role: str, batch: DataFrame, run_date: dt.date | st
     typed = batch.select(*[F.col(c).cast(schema.table("person").schema[c].dataType if c in PERSON_INPUT
                                          else role_schema[c].dataType).alias(c) for c in cols])
     good, rejected = _split(typed, F.when(~text.non_blank("name"), F.lit("blank_name")))
-    numbered = allocate_ids(t.get("person", "id"), good, list(cols))
+    numbered = allocate_ids(t.max_id("person"), good, list(cols))
     person_rows = numbered.select("id", *PERSON_INPUT, F.lit(None).cast("bigint").alias("phone_id"),
                                   F.lit(None).cast("int").alias("address_id"))
     role_cols = [c for c in schema.table(role).columns if c != "person_id"]
@@ -84,7 +84,7 @@ def insert_classes(t: Tables, batch: DataFrame) -> InsertResult:
               .when(F.col("__sport").isNull(), "unknown_sport")
               .when(F.col("__sched").isNull(), "unknown_schedule"))
     good, rejected = _split(checked.select(*CLASS_INPUT, "__sport", "__sched"), reason)
-    numbered = allocate_ids(t.get("class_group", "id"), good.select(*CLASS_INPUT), list(CLASS_INPUT))
+    numbered = allocate_ids(t.max_id("class_group"), good.select(*CLASS_INPUT), list(CLASS_INPUT))
     rows = numbered.select("id", *CLASS_INPUT)
     return InsertResult(t.replace(class_group=t.get("class_group").unionByName(rows)), rows,
                         rejected.select(*CLASS_INPUT, "reason"))
@@ -93,7 +93,7 @@ def insert_classes(t: Tables, batch: DataFrame) -> InsertResult:
 def insert_sports(t: Tables, batch: DataFrame) -> InsertResult:
     typed = _cast_to(batch, "sport", SPORT_INPUT)
     good, rejected = _split(typed, F.when(~text.non_blank("name"), F.lit("blank_name")))
-    numbered = allocate_ids(t.get("sport", "id"), good, list(SPORT_INPUT))
+    numbered = allocate_ids(t.max_id("sport"), good, list(SPORT_INPUT))
     rows = _cast_to(numbered, "sport", ["id", *SPORT_INPUT])
     return InsertResult(t.replace(sport=t.get("sport").unionByName(rows)), rows, rejected)
 

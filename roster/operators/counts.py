@@ -22,31 +22,36 @@ def table_counts(t: Tables, names: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def next_id(df: DataFrame, col: str = "id"):
-    """COALESCE(MAX(col), 0) + 1 as a bigint column expression over ``df`` (one aggregate row)."""
-    return df.agg((F.coalesce(F.max(col), F.lit(0)).cast("bigint") + 1).alias("next_id"))
-
-
 def next_ids(t: Tables) -> DataFrame:
-    """(table_name, next_id) for every table with a single-column id."""
-    parts = [next_id(t.get(name, "id")).select(F.lit(name).alias("table_name"), "next_id")
+    """(table_name, next_id) for every table with a single-column id: COALESCE(MAX(id), 0) + 1."""
+    parts = [t.spark.range(1).select(F.lit(name).alias("table_name"),
+                                     (F.coalesce(t.max_id(name), F.lit(0)).cast("bigint") + 1).alias("next_id"))
              for name in t.names() if schema.table(name).primary_key == ("id",)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def schema_catalog(t: Tables) -> DataFrame:
     """Declared schema of every table joined with what the data holds: one row per column with its type,
-    whether it is part of the key, the table it references, and its non-NULL count (one aggregate per table)."""
+    whether it is part of the key, the table it references, and its non-NULL count. One aggregate per
+    table, unpivoted to one row per column."""
     refs = {(fk.child, fk.column): fk.parent for fk in schema.FOREIGN_KEYS}
     parts = []
     for name in t.names():
         spec = schema.table(name)
         counted = t.get(name).agg(*[F.count(c).alias(c) for c in spec.columns])
-        for f in spec.schema.fields:
-            parts.append(counted.select(
-                F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.lit(f.name in spec.primary_key).alias("is_key"),
-                F.lit(refs.get((name, f.name))).cast("string").alias("references_table"),
-                F.col(f.name).alias("non_null")))
+        long = counted.unpivot([], spec.columns, "column_name", "non_null")
+
+        def by_column(values: dict, default=None):
+            expr = F.lit(default)
+            for col, v in values.items():
+                expr = F.when(F.col("column_name") == col, F.lit(v)).otherwise(expr)
+            return expr
+
+        parts.append(long.select(
+            F.lit(name).alias("table_name"), "column_name",
+            by_column({f.name: f.dataType.simpleString() for f in spec.schema.fields}).alias("data_type"),
+            by_column({c: True for c in spec.primary_key}, False).alias("is_key"),
+            by_column({c: refs[(name, c)] for c in spec.columns if (name, c) in refs}).cast("string")
+            .alias("references_table"),
+            F.col("non_null").cast("bigint").alias("non_null")))
     return reduce(DataFrame.unionByName, parts)

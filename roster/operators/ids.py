@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from roster.plans.indexing import dense_index
 
 
-def next_id_column(existing: DataFrame, id_col: str = "id") -> Column:
-    """COALESCE(MAX(id), 0) + 1 over ``existing`` as a scalar-subquery column."""
-    return existing.agg((F.coalesce(F.max(id_col), F.lit(0)).cast("bigint") + 1)).scalar()
+def next_id_column(existing: DataFrame | Column, id_col: str = "id") -> Column:
+    """COALESCE(MAX(id), 0) + 1 as a scalar-subquery column; ``existing`` is the table, or already its
+    largest id (``Tables.max_id``)."""
+    top = existing if isinstance(existing, Column) else existing.agg(F.max(id_col)).scalar()
+    return F.coalesce(top, F.lit(0)).cast("bigint") + 1
 
 
-def allocate_ids(existing: DataFrame, batch: DataFrame, order: Sequence[str], id_col: str = "id",
+def allocate_ids(existing: DataFrame | Column, batch: DataFrame, order: Sequence[str], id_col: str = "id",
                  existing_id_col: str = "id", max_local_rows: int = 0) -> DataFrame:
-    """Number ``batch`` after the largest id of ``existing``. ``max_local_rows`` lets a batch that is
-    checked to be small take the single-task path."""
+    """Number ``batch`` after the largest id of ``existing`` (a table, or its largest id as a column).
+    ``max_local_rows`` lets a batch that is checked to be small take the single-task path."""
     return dense_index(batch, order, id_col=id_col, start=next_id_column(existing, existing_id_col),
                        max_local_rows=max_local_rows)

@@ -62,7 +62,7 @@ def link(t: Tables, kind: str, pairs: DataFrame) -> LinkResult:
         outcomes = out
     else:
         # Enrollment rows carry a generated id (AUTO_INCREMENT in the reference).
-        numbered = allocate_ids(t.get(spec.table, "id"), added, [a, b])
+        numbered = allocate_ids(t.max_id(spec.table), added, [a, b])
         new_table = t.get(spec.table).unionByName(numbered.select("id", a, b))
         outcomes = (numbered.select("id", a, b, F.lit("added").alias("outcome"))
                     .unionByName(out.filter(F.col("outcome") != "added")

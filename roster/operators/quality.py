@@ -40,12 +40,14 @@ def check_keys(t: Tables) -> DataFrame:
     parts = []
     for name in t.names():
         pk = list(schema.table(name).primary_key)
-        df = t.get(name, *pk)
-        dup = (df.groupBy(*pk).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-               .agg(F.count(F.lit(1)).alias("n_bad")))
-        parts.append(_row("pk_duplicate", name, ",".join(pk), dup))
-        nulls = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
-        parts.append(_row("pk_null", name, ",".join(pk), _count_where(df, nulls)))
+        # One grouped pass gives both checks: key values held by several rows, and rows whose key has a NULL.
+        groups = t.get(name, *pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("c"))
+        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
+        both = groups.agg(F.count(F.when(F.col("c") > 1, F.lit(1))).alias("pk_duplicate"),
+                          F.coalesce(F.sum(F.when(has_null, F.col("c"))), F.lit(0)).alias("pk_null"))
+        long = both.unpivot([], ["pk_duplicate", "pk_null"], "rule", "n_bad")
+        parts.append(long.select("rule", F.lit(name).alias("table_name"),
+                                 F.lit(",".join(pk)).alias("column_name"), F.col("n_bad").cast("bigint")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roster import schema
 from roster.plans import broadcast as bc
@@ -18,7 +19,8 @@ Builder = Callable[[tuple[str, ...] | None], DataFrame]
 
 class Tables:
     def __init__(self, spark: SparkSession, builders: Mapping[str, Builder],
-                 sources: Mapping[str, Callable[[], DataFrame]] | None = None, origin: str | None = None):
+                 sources: Mapping[str, Callable[[], DataFrame]] | None = None, origin: str | None = None,
+                 max_ids: Mapping[str, Callable[[], Column]] | None = None):
         unknown = set(builders) - set(schema.TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -28,6 +30,8 @@ class Tables:
         self._small: dict[str, bool] = {}
         self._sources = dict(sources or {})
         self.origin = origin   # where the tables were derived from (names the load-once folder)
+        # Sources that know a table's largest id without building every id (a row-number id ends at count).
+        self._max_ids = dict(max_ids or {})
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> "Tables":
@@ -66,6 +70,12 @@ class Tables:
         df = self.get(name, *cols)
         return bc.fixed(df) if self._small[name] else df
 
+    def max_id(self, name: str, id_col: str = "id") -> Column:
+        """Largest ``id_col`` of ``name`` (NULL when empty) as a scalar-subquery column."""
+        if name in self._max_ids and id_col == "id":
+            return self._max_ids[name]()
+        return self.get(name, id_col).agg(F.max(id_col)).scalar()
+
     def mark_small(self, name: str, small: bool) -> None:
         """Record a row-count check already made for ``name`` (so ``dim`` need not repeat it)."""
         self._small[name] = small
@@ -76,4 +86,6 @@ class Tables:
         for name, df in frames.items():
             schema.table(name)
             builders[name] = lambda cols, df=df: df
-        return Tables(self.spark, builders, self._sources, self.origin)
+        # A replaced table no longer has the shortcut for its largest id.
+        max_ids = {n: f for n, f in self._max_ids.items() if n not in frames}
+        return Tables(self.spark, builders, self._sources, self.origin, max_ids)

@@ -39,3 +39,17 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["class_id", "class_name", "sport_name", "capacity", "enrolled"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["unlink_one", "link_label_index", "link_enrollment", "occupancy", "cascade_person"])
+def test_same_result_for_one_and_eight_partitions(spark, con, name):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        results = []
+        for n in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = entry.queries()[name](spark, SF0001)
+            results.append(rows_of(df.columns, [tuple(r) for r in df.collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
