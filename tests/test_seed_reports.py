@@ -76,3 +76,10 @@ def test_counts_and_next_ids(seed):
     assert c["enrollment"] == 7 and c["person"] == 10
     n = {r.table_name: r.next_id for r in counts.next_ids(seed).collect()}
     assert n["person"] == 11 and n["enrollment"] == 8
+
+
+def test_parameterised_lookups(seed):
+    row = rosters.lookup_one(seed, "student", 3).collect()
+    assert len(row) == 1 and row[0].health_note == "Asma leve"
+    assert rosters.lookup_one(seed, "sport", 2).first().name == "Futebol"
+    assert rosters.lookup_one(seed, "instructor", 99).count() == 0
