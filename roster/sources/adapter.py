@@ -245,5 +245,6 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     sources = {name: (lambda name=name: src(name)) for name in SOURCE_SCHEMAS}
     # Enrollment ids are row numbers 1..n, so the largest id is the row count: no numbering needed.
     max_ids = {"enrollment": lambda: t().get("enrollment", "class_id").agg(F.count(F.lit(1)).cast("bigint")).scalar()}
-    holder["tables"] = Tables(spark, builders, sources, origin=sf_dir, max_ids=max_ids)
+    holder["tables"] = Tables(spark, builders, sources, origin=sf_dir, max_ids=max_ids,
+                              projection_aware={"enrollment"})
     return holder["tables"]

@@ -6,7 +6,7 @@ for; the star-schema adapter uses this to avoid numbering enrollments when the i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ Builder = Callable[[tuple[str, ...] | None], DataFrame]
 class Tables:
     def __init__(self, spark: SparkSession, builders: Mapping[str, Builder],
                  sources: Mapping[str, Callable[[], DataFrame]] | None = None, origin: str | None = None,
-                 max_ids: Mapping[str, Callable[[], Column]] | None = None):
+                 max_ids: Mapping[str, Callable[[], Column]] | None = None,
+                 projection_aware: Iterable[str] = ()):
         unknown = set(builders) - set(schema.TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -32,6 +33,9 @@ class Tables:
         self.origin = origin   # where the tables were derived from (names the load-once folder)
         # Sources that know a table's largest id without building every id (a row-number id ends at count).
         self._max_ids = dict(max_ids or {})
+        # Builders that do less work for fewer columns get the requested columns; the others are built once
+        # per table set and projected, so any checks they run are not repeated.
+        self._projection_aware = set(projection_aware)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> "Tables":
@@ -48,7 +52,10 @@ class Tables:
             raise KeyError(f"table {name!r} is not available")
         key = (name, tuple(cols) if cols else None)
         if key not in self._frames:
-            df = self._builders[name](key[1])
+            if key[1] is None or name in self._projection_aware:
+                df = self._builders[name](key[1])
+            else:
+                df = self.get(name)
             self._frames[key] = df.select(*cols) if cols else df
         return self._frames[key]
 
@@ -88,4 +95,5 @@ class Tables:
             builders[name] = lambda cols, df=df: df
         # A replaced table no longer has the shortcut for its largest id.
         max_ids = {n: f for n, f in self._max_ids.items() if n not in frames}
-        return Tables(self.spark, builders, self._sources, self.origin, max_ids)
+        return Tables(self.spark, builders, self._sources, self.origin, max_ids,
+                      self._projection_aware - set(frames))
