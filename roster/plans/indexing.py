@@ -2,15 +2,15 @@
 
 ``row_number() over (order by ...)`` with no ``partition by`` moves every row into one task. Instead:
 
-1. range-partition the rows on the order columns into ``n`` partitions and sort inside each partition
-   (the same work a distributed ``orderBy`` does);
+1. range-partition the rows on the order columns and sort inside each partition (the same work a
+   distributed ``orderBy`` does; AQE sizes the partitions unless a count is given);
 2. ``monotonically_increasing_id`` then carries (partition index, position inside the partition);
 3. that tagged frame is written once with a reliable ``checkpoint()`` to the session's checkpoint folder.
    Range bounds come from a sample whose seed differs between evaluations, so without pinning the rows
    the count pass and the numbering pass could see different partitions; after the checkpoint both
    read the same files, and a lost executor re-reads them instead of re-sampling;
-4. count rows per partition (``n`` rows) and turn the counts into starting offsets with a running sum
-   over those ``n`` rows, broadcast them (bounded by the partition count, not by the data) and add.
+4. count rows per partition (one row per partition) and turn the counts into starting offsets with a
+   running sum over those rows, broadcast them (bounded by the partition count, not by the data) and add.
 
 Inputs proven small by a row-count check (``max_local_rows``) take a bounded single-task window instead,
 which needs no checkpoint.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from roster.plans.broadcast import row_bound_holds
 from roster.session import ensure_checkpoint_dir
-from roster.sessionutil import shuffle_partitions
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -53,16 +52,19 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], id_col: str = "id"
         # Proven small: one task over at most max_local_rows rows.
         rn = F.row_number().over(Window.orderBy(*keys))
         return df.withColumn(id_col, (start_col + rn - 1).cast("bigint"))
-    n = num_partitions or shuffle_partitions(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(n, *keys)
+    # Without an explicit count AQE may coalesce the range partitions to its advisory size. That is safe
+    # here: coalesced partitions keep their range order, and the partition index is recorded in the ids
+    # that the checkpoint pins, which both passes below read.
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    tagged = (ranged
               .sortWithinPartitions(*keys)
               .withColumn("__rid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     tagged = tagged.withColumn("__part", F.shiftright("__rid", _POS_BITS)) \
                    .withColumn("__pos", F.col("__rid").bitwiseAND(F.lit(_POS_MASK)))
     counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # At most n rows (one per partition): a single-task running sum here is bounded by the partition count.
+    # One row per partition: a single-task running sum here is bounded by the partition count.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     out = (tagged.join(F.broadcast(offsets), "__part")
