@@ -1,6 +1,5 @@
 """Golden results on the seed tables, derived by hand from the seed rows."""
 
-from pyspark.sql import functions as F
 
 from roster.operators import counts, links, reports, rosters
 

@@ -3,12 +3,10 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from roster import schema
 from roster.operators import counts
 from roster.sources import jdbc, parquet, seed as seedsrc
-from roster.sources.adapter import star_schema_tables
 
 
 def test_parquet_round_trip_and_load_once(spark, seed, scratch):
