@@ -75,3 +75,43 @@ def latest_state(spark: SparkSession, state_dir: str, query: StreamingQuery, sta
                     return state
                 return state.filter(~F.coalesce(F.col(op_col).isin(*delete_ops), F.lit(False)))
     return None
+
+
+def start_latest_per_key_stream(spark: SparkSession, source_dir: str, source_schema: T.StructType | str,
+                                delta_dir: str, checkpoint_location: str, key: str | Sequence[str],
+                                order: Sequence[str], columns: Sequence[str] | None = None,
+                                available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Incremental variant: the latest change per key lives in the state store of a streaming ``max_by``
+    aggregation (partitioned by key across the shuffle partitions), and each micro-batch emits only the
+    keys it changed (update mode). Those rows are written as one delta folder per batch id (overwritten on
+    retry), so a batch costs what it changed, not the size of the table. ``columns`` must include the
+    order columns and the operation column, so ``read_latest_state`` can resolve the deltas."""
+    keys = [key] if isinstance(key, str) else list(key)
+    reader = spark.readStream.schema(source_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    changes = reader.parquet(source_dir)
+    cols = list(columns) if columns is not None else [c for c in changes.columns if c not in keys]
+    missing = [c for c in order if c not in cols]
+    if missing:
+        raise ValueError(f"the state must carry the order columns {missing}")
+    latest = (changes.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__last"))
+              .select(*keys, *[F.col(f"__last.{c}").alias(c) for c in cols]))
+
+    def write_delta(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(version_path(delta_dir, batch_id))
+
+    writer = (latest.writeStream.outputMode("update").foreachBatch(write_delta)
+              .option("checkpointLocation", checkpoint_location))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
+def read_latest_state(spark: SparkSession, delta_dir: str, key: str | Sequence[str], order: Sequence[str],
+                      op_col: str, delete_ops: Sequence[str] = ("delete",),
+                      columns: Sequence[str] | None = None) -> DataFrame:
+    """Current table from the deltas: the latest row per key over all batches, deletes left out."""
+    keys = [key] if isinstance(key, str) else list(key)
+    deltas = spark.read.parquet(delta_dir)
+    cols = list(columns) if columns is not None else [c for c in deltas.columns if c not in keys and c != "v"]
+    return apply_changes(None, deltas.select(*keys, *cols), keys, order, op_col, delete_ops, cols)

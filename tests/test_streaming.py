@@ -46,3 +46,22 @@ def test_versioned_state_resists_late_older_changes(spark):
                                  "k int, seq int, op string, v string")
     out = apply_changes(state, late, "k", ["seq"], "op", ["delete"], ["seq", "op", "v"])
     assert _rows(out) == [(1, 5, "upsert", "new"), (3, 1, "upsert", "c")]
+
+
+def test_state_store_stream_matches_batch(spark, scratch):
+    from roster.streaming.changelog_stream import read_latest_state, start_latest_per_key_stream
+    events = spark.read.schema(SOURCE_SCHEMAS["events"]).parquet(f"{SF0001}/events.parquet")
+    src = os.path.join(scratch, "src")
+    for i in range(3):
+        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    cols = ["event_id", "ts", "event_type", "value", "props"]
+    q = start_latest_per_key_stream(spark, os.path.join(src, "*"), SOURCE_SCHEMAS["events"],
+                                    os.path.join(scratch, "deltas"), os.path.join(scratch, "ckpt"), "user_id",
+                                    ["ts", "event_id"], cols, max_files_per_trigger=1)
+    q.awaitTermination(180)
+    got = read_latest_state(spark, os.path.join(scratch, "deltas"), "user_id", ["ts", "event_id"], "event_type",
+                            ["error"], cols)
+    want = apply_changes(None, events, "user_id", ["ts", "event_id"], "event_type", ["error"], cols)
+    assert _rows(got.select("user_id", *cols)) == _rows(want.select("user_id", *cols))
+    # three files, three batches, and later batches only carry the keys they changed
+    assert len([d for d in os.listdir(os.path.join(scratch, "deltas")) if d.startswith("v=")]) == 3
