@@ -12,7 +12,8 @@ Given a DataFrame of keys to delete from one table:
   the distinct deleted keys).
 
 Deleted key sets are usually far smaller than the tables they filter; AQE broadcasts them at runtime
-when they are, and shuffles otherwise. No step collects keys on the driver.
+when they are, and shuffles otherwise. Each key set is pinned once with a reliable checkpoint, because
+every touched table reads it, and the lineage is cut there. No step collects keys on the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roster import schema
+from roster.session import ensure_checkpoint_dir
 from roster.sources.tables import Tables
 
 
@@ -40,7 +42,16 @@ def _key_of(fk: schema.ForeignKey) -> str:
     return fk.parent_column
 
 
-def delete_cascade(t: Tables, root: str, keys: DataFrame) -> DeleteResult:
+def _pin(df: DataFrame, materialize: bool) -> DataFrame:
+    """Write a deleted-key set once (reliable checkpoint in the session's checkpoint folder): every
+    table of the delete reads it, so the parent scan and its joins are not repeated per table."""
+    if not materialize:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def delete_cascade(t: Tables, root: str, keys: DataFrame, materialize: bool = True) -> DeleteResult:
     schema.check_graph_invariants()
     spec = schema.table(root)
     pk = list(spec.primary_key)
@@ -57,7 +68,7 @@ def delete_cascade(t: Tables, root: str, keys: DataFrame) -> DeleteResult:
         hit = remaining.join(refs, _key_of(fk), "left_semi")
         rejected_parts.append(hit.withColumn("blocked_by", F.lit(fk.child)))
         remaining = remaining.join(refs, _key_of(fk), "left_anti")
-    accepted = remaining
+    accepted = _pin(remaining, materialize)
     rejected = (reduce(DataFrame.unionByName, rejected_parts) if rejected_parts
                 else targets.limit(0).withColumn("blocked_by", F.lit(None).cast("string")))
 
@@ -79,7 +90,7 @@ def delete_cascade(t: Tables, root: str, keys: DataFrame) -> DeleteResult:
             parts = [df.select(*tpk, fk.column).join(
                         deleted_keys[fk.parent].select(F.col(_key_of(fk)).alias(fk.column)), fk.column, "left_semi")
                      .select(*tpk) for fk in incoming]
-            deleted_keys[name] = reduce(DataFrame.unionByName, parts)
+            deleted_keys[name] = _pin(reduce(DataFrame.unionByName, parts), materialize)
 
     nulled: list[schema.ForeignKey] = []
     for parent, gone in list(deleted_keys.items()):

@@ -86,10 +86,11 @@ def _keyed(df: DataFrame, key: str, keys: DataFrame | Iterable[int]) -> DataFram
 
 def lookup_student(t: Tables, keys: DataFrame | Iterable[int]) -> DataFrame:
     """Editable fields of the requested students (person joined with its student row)."""
-    s = _keyed(t.get("student", "person_id", "enrolled_on", "health_note"), "person_id", keys)
-    p = _keyed(t.get("person", *PERSON_FIELDS), "id", keys)
-    return s.join(p, F.col("person_id") == F.col("id")).select("id", "name", "tax_id", "email", "born_on",
-                                                 "enrolled_on", "health_note")
+    s = t.get("student", "person_id", "enrolled_on", "health_note")
+    p = t.get("person", *PERSON_FIELDS)
+    j = s.join(p, F.col("person_id") == F.col("id")).select("id", "name", "tax_id", "email", "born_on",
+                                                            "enrolled_on", "health_note")
+    return _keyed(j, "id", keys)
 
 
 def lookup_instructor(t: Tables, keys: DataFrame | Iterable[int]) -> DataFrame:
