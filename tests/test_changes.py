@@ -147,3 +147,12 @@ def test_validation_flags_bad_rows(spark):
     assert rep[("blank_name", "person", "name")] == 1
     assert rep[("date_out_of_range", "person", "born_on")] == 1
     assert rep[("pk_duplicate", "person", "id")] == 0
+
+
+def test_pinned_and_unpinned_deletes_agree(seed, spark):
+    keys = _keys(spark, 1, 6, 9)
+    pinned = cascade.change_report(cascade.delete_cascade(seed, "person", keys, materialize=True))
+    plain = cascade.change_report(cascade.delete_cascade(seed, "person", keys, materialize=False))
+    assert _rows(pinned, "item", "n") == _rows(plain, "item", "n")
+    rep = dict(_rows(plain, "item", "n"))
+    assert rep["person"] == 7 and rep["guardianship"] == 3 and rep["keys_deleted"] == 3   # (1,6) and (4,9) go
