@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roster.llm import exact_dedup, line_dedup
+from roster.llm import bpe, exact_dedup, line_dedup, packing
 from roster.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +19,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    model, table_of_bytes = (spark.sparkContext.broadcast(x) for x in (bpe.model_bytes(tokens), tokens))
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
+    decoded = bpe.bpe_decode(encoded, table_of_bytes)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                          F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "loss_tokens",
+                         "sequence_id", "offset")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op5_byte_bpe, op7_packing, op9_exact_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
