@@ -6,7 +6,7 @@ one member is resolved; a group whose members ended within the run is a class of
 on to the next run. Runs grow fourfold, so a text of n bytes takes about log4(n) rounds. Groups are told
 apart by the bytes themselves; no digest decides equality.
 
-* Round 0 compares only the first 64 bytes of every text and lets documents leave that share them with no
+* Round 0 compares only the first 256 bytes of every text and lets documents leave that share them with no
   other; only the rest is written out once, with row ids, for the later rounds.
 * Groups are counted with map-side combining, so a group with a third of all rows costs one row per task.
   Group numbers return to the members by a shuffle join whose hot keys AQE splits. No group meets in a task.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from roster.llm.shared import ascii_lower, pin
 
-HEAD_BYTES = 64
-FIRST_RUN = 256
+HEAD_BYTES = 256
+FIRST_RUN = 1024
 GROWTH = 4
 
 
