@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, first_run: int = FIRST_RUN, growth: int = GROWT
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     head = F.expr(f"substring(cast(head AS binary), 1, {HEAD_BYTES})")
     heads = docs.select(ascii_lower(F.substring("text", 1, HEAD_BYTES)).alias("head")).select(head.alias("digit"))
-    shared = heads.groupBy("digit").count().filter("count > 1").select("digit", F.lit(True).alias("shared"))
+    shared = pin(heads.groupBy("digit").count().filter("count > 1").select("digit", F.lit(True).alias("shared")), "radix-heads")
     rows = (docs.select("doc_id", ascii_lower(F.col("text")).alias("norm"))
             .withColumn("digit", F.expr(f"substring(cast(norm AS binary), 1, {HEAD_BYTES})"))
             .join(shared, "digit", "left")
@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, first_run: int = FIRST_RUN, growth: int = GROWT
 
 
 def _partition(rows: DataFrame, width: int, growth: int) -> DataFrame:
-    """(rid, n, keep_id, keep_rid) for every row of ``rows`` (rid, doc_id, norm)."""
+    """(rid, n, keep_id, keep_rid) of the rows (rid, doc_id, norm) whose text another row has too."""
     start, open_groups, resolved = 0, None, None
     while True:
         digits = (rows.filter(F.octet_length("norm") >= start)
@@ -64,15 +64,16 @@ def _partition(rows: DataFrame, width: int, growth: int) -> DataFrame:
             members = digits.withColumn("g", F.lit(0).cast("long"))
         else:
             members = open_groups.join(digits, "rid")
-        groups = (members.groupBy("g", "digit")
+        groups = (members.groupBy("g", "digit")   # written, so that AQE can split the join below
                   .agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first"), F.max("doc_id").alias("keep_id"),
-                       F.coalesce(F.max_by("rid", "doc_id"), F.max("rid")).alias("keep_rid")))
-        split = pin(members.select("rid", "g", "digit").join(groups, ["g", "digit"])
+                       F.coalesce(F.max_by("rid", "doc_id"), F.max("rid")).alias("keep_rid"))
+                  .filter("n > 1"))
+        split = pin(members.select("rid", "g", "digit").join(pin(groups, "radix-groups"), ["g", "digit"])
                     .select("rid", F.col("first").alias("g"), "n", "keep_id", "keep_rid",
                             (F.octet_length("digit") < width).alias("ended")), "radix-round")
-        done = split.filter("n = 1 OR ended").select("rid", "n", "keep_id", "keep_rid")
+        done = split.filter("ended").select("rid", "n", "keep_id", "keep_rid")
         resolved = done if resolved is None else resolved.unionByName(done)
-        open_groups = split.filter("n > 1 AND NOT ended").select("rid", "g")
+        open_groups = split.filter("NOT ended").select("rid", "g")
         if open_groups.isEmpty():
             return resolved
         start, width = start + width, width * growth

@@ -46,7 +46,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     per_doc = keyed.select("h", "doc_id").distinct()
     repeated = (per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
                 .filter(F.col("n") >= min_docs).select("h", "keep_id"))
-    hits = keyed.join(repeated, "h").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # Written, so that AQE can split the join's hot keys.
+    hits = keyed.join(pin(repeated, "line-repeats"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return hits.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("drops"))
 
 

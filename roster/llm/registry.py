@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roster.llm import bpe, exact_dedup, langid, line_dedup, packing, quality, secret_scan
+from roster.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, quality, secret_scan
 from roster.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +60,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing, op8_near_dedup,
                                                  op9_exact_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
