@@ -5,7 +5,7 @@ and only a representative goes on. Representatives are branched by minwise token
 coordinates of the MinHash signature by a hash of its own number, more than 1/threshold of them on average, and
 sends each member to the child named by its value there. Similar documents follow the same paths; others part.
 
-* A node of up to ``SMALL`` members is compared exhaustively: first signatures (pairs far below the threshold go),
+* A node of up to ``SMALL`` members and ``WEIGHT`` shingles is compared exhaustively: first signatures (pairs far below the threshold go),
   then the full shingle sets of the groups that remain. Groups met again in other nodes are compared once.
 * In a larger node every member is compared with the node's first in the same two steps, and the node branches on. Links
   found so far are turned into components between levels, and a node within one component needs no further work;
@@ -40,7 +40,8 @@ COORDINATES = 64
 TREES = 12
 SECOND = 0.5            # how often a node chooses a second coordinate
 ESTIMATE = 0.6          # least share of equal coordinates for a closer look
-SMALL = 400
+SMALL = 2500            # members of a node that is compared exhaustively,
+WEIGHT = 2_000_000      # and their shingles
 LEVELS = 20
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -55,46 +56,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64))
-_POWER = np.cumprod(np.full(1 << 16, _M3 | np.uint64(3), dtype=np.uint64))
+_SPACES = b" \t\n\x0b\x0c\r"
 _SALT = mix(np.arange(1000, 1000 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 
 
-def _word_hashes(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[b]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    lengths = ends - starts
-    at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    weighted = _LETTER[b[~space]] * _POWER[at % len(_POWER)]
-    if lengths.max() > len(_POWER):
-        weighted = mix(weighted + (at // len(_POWER)).astype(np.uint64))
-    return mix(np.add.reduceat(weighted, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+class _WordHashes(dict):
+    """64-bit hashes of words, of which a bounded number is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) < 300_000 and len(word) < 64:
+            self[word] = h
+        return h
+
+
+_HASHES = _WordHashes()
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles. Long texts are hashed in blocks cut at white space."""
+    """Sorted distinct 64-bit hashes of the text's shingles. Long texts are read in blocks cut at white space."""
     data = (text or "").encode().translate(_FOLD)
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + _BLOCK)
-        while end < len(data) and not _SPACE[data[end]]:
+        while end < len(data) and data[end] not in _SPACES:
             end += 1
-        parts.append(_word_hashes(data[at:end]))
+        found = data[at:end].split()
+        parts.append(np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found)))
         at = end
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    h = np.concatenate(parts) if len(parts) != 1 and parts else parts[0] if parts else np.zeros(0, np.uint64)
     size = min(words, len(h))
     if not size:
         return h
-    out = np.zeros(len(h) - size + 1, dtype=np.uint64)
-    for k in range(size):
-        out = mix(out * _M3 + h[k:len(h) - size + 1 + k] + np.uint64(size))
-    return np.unique(out)
+    out = h[:len(h) - size + 1] + np.uint64(size)
+    for k in range(1, size):
+        out = out * _M3 + h[k:len(h) - size + 1 + k]
+    out = np.sort(mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -132,18 +130,21 @@ def _sigs(column: pa.Array) -> np.ndarray:
 def _rooted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
     for batch in batches:
-        rid, sigs = batch.column(0).to_numpy(), _sigs(batch.column(1))
-        for root in roots if len(rid) else []:
-            nodes, of = children(np.full(len(rid), root), sigs)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rid[of])], names=["node", "rid"])
+        if batch.num_rows:
+            rid, size, sigs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sigs(batch.column(2))
+            for root in roots:
+                nodes, of = children(np.full(len(rid), root), sigs)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rid[of]), pa.array(size[of])],
+                                                 names=["node", "rid", "size"])
 
 
 def _branched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            node, rid = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            nodes, of = children(node, _sigs(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rid[of])], names=["node", "rid"])
+            node, rid, size = (batch.column(i).to_numpy() for i in range(3))
+            nodes, of = children(node.view(np.uint64), _sigs(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rid[of]), pa.array(size[of])],
+                                             names=["node", "rid", "size"])
 
 
 def _like_head(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,26 +188,48 @@ def _close(table: pa.Table) -> pa.Table:
 
 
 def _linked(table: pa.Table, percent: int) -> pa.Table:
-    """Links that hold a group's similar documents together (to the first of each component), on full sets."""
+    """Links that hold a group's similar documents together (to the first of each component), on full sets.
+
+    Breadth first: a block of newly reached documents is compared with all that are not reached yet; two that are
+    in one component already are not compared."""
     rid = table.column("rid").to_numpy()
-    sets = [np.frombuffer(s, dtype="<u8") for s in table.column("shingles").to_pylist()]
     order = np.argsort(rid)
-    rid, sets = rid[order], [sets[i] for i in order]
+    rid, sets = rid[order], table.column("shingles").to_pylist()
+    sets = [np.frombuffer(sets[i], dtype="<u8") for i in order]
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    by_column = np.argsort(column, kind="stable")
-    column, owner = column[by_column], owner[by_column]
-    shared = np.zeros((len(sets), len(sets)))
-    for at in range(0, len(tokens), 8192):
-        lo, hi = np.searchsorted(column, [at, at + 8192])
-        m = np.zeros((len(sets), min(8192, len(tokens) - at)), dtype=np.float32)
-        m[owner[lo:hi], column[lo:hi] - at] = 1
-        shared += m @ m.T
-    both = np.rint(shared).astype(np.int64)
-    group = _groups(100 * both >= percent * (size[:, None] + size[None, :] - both))
-    own = np.flatnonzero(group != np.arange(len(group)))
-    return pa.table({"a": pa.array(rid[group[own]]), "b": pa.array(rid[own])})
+    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    by_token = np.argsort(flat, kind="stable")
+    owner, flat = owner[by_token], flat[by_token]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1        # a token of one document alone is in no intersection
+    column, owner = np.cumsum(new & common)[common] - 1, owner[common]
+    width = int(column[-1]) + 1 if len(column) else 0
+    has = np.zeros((len(sets), width), dtype=np.uint8)
+    has[owner, column] = 1
+
+    def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(y)), dtype=np.float32)
+        for at in range(0, width, 4096):
+            out += has[x, at:at + 4096].astype(np.float32) @ has[y, at:at + 4096].astype(np.float32).T
+        return np.rint(out).astype(np.int64)
+
+    first = np.full(len(sets), -1)
+    for start in range(len(sets)):
+        if first[start] >= 0:
+            continue
+        first[start], reached = start, [start]
+        while reached:
+            block, reached = np.array(reached[:256]), reached[256:]
+            rest = np.flatnonzero(first < 0)
+            if not len(rest):
+                break
+            common_ = both(block, rest)
+            near = (100 * common_ >= percent * (size[block][:, None] + size[rest][None, :] - common_)).any(axis=0)
+            first[rest[near]] = start
+            reached += rest[near].tolist()
+    own = np.flatnonzero(first != np.arange(len(sets)))
+    return pa.table({"a": pa.array(rid[first[own]]), "b": pa.array(rid[own])})
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -249,27 +272,29 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): confirmed links that join all similar representatives of ``rows`` (rid, doc_id, version, sig)."""
+    """(a, b): confirmed links that join all similar representatives of ``rows`` (rid, doc_id, version, n_shingles,
+    sig)."""
     sigs = rows.select("rid", "sig")
-    nodes = sigs.mapInArrow(_rooted, "node long, rid long")
+    nodes = rows.select("rid", F.col("n_shingles").alias("size"), "sig").mapInArrow(_rooted, "node long, rid long, size long")
     sets = labels = found = None
     for level in range(LEVELS + 1):
         if labels is None:
             nodes = nodes.withColumn("label", F.col("rid"))
         else:
             nodes = (nodes.join(labels.withColumnRenamed("v", "rid"), "rid", "left")
-                     .select("node", "rid", F.coalesce("component", "rid").alias("label")))
-        alive = (nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("head"),
+                     .select("node", "rid", "size", F.coalesce("component", "rid").alias("label")))
+        alive = (nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("rid").alias("head"),
                                            F.min("label").alias("low"), F.max("label").alias("high"))
-                 .filter("n > 1 AND low < high").select("node", "n", "head"))
+                 .filter("n > 1 AND low < high")
+                 .select("node", "head", F.ceil(F.greatest(F.col("n") / SMALL, F.col("weight") / WEIGHT)).alias("parts")))
         nodes = pin(nodes.join(alive, "node"), "nodes")
         if sets is None:
             sets = pin(_sets(docs, rows.join(nodes.select("rid").distinct(), "rid", "left_semi")), "sets")
         with_sigs = nodes.join(sigs, "rid")
-        clusters = (with_sigs.filter(F.col("n") <= SMALL).select("node", "rid", "label", "sig")
+        clusters = (with_sigs.filter("parts = 1").select("node", "rid", "label", "sig")
                     .groupBy("node").applyInArrow(_close, "cluster long, rid long"))
-        large = with_sigs.filter(F.col("n") > SMALL)
-        more = not nodes.filter(F.col("n") > SMALL).isEmpty()
+        large = with_sigs.filter("parts > 1")
+        more = not nodes.filter("parts > 1").isEmpty()
         if more and level < LEVELS:
             heads = nodes.filter("rid = head").join(sigs, "rid").select("node", F.col("sig").alias("head_sig"))
             star = (large.filter("rid <> head").join(heads, "node").select("head", "rid", "sig", "head_sig")
@@ -277,7 +302,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
             pair = star.select(F.xxhash64("head", "rid").alias("cluster"), F.explode(F.array("head", "rid")).alias("rid"))
             clusters = clusters.unionByName(pair)
         elif more:
-            blocks = F.ceil(F.col("n") * 2 / SMALL)
+            blocks = 2 * F.col("parts")
             block = F.pmod(F.xxhash64("rid"), blocks)
             clusters = clusters.unionByName(
                 large.select("node", "rid", block.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
@@ -286,10 +311,10 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
                 .applyInArrow(lambda t: _linked(t, percent), "a long, b long"))
         made = pin(made.distinct(), "links")
         found = made if found is None else found.unionByName(made)
-        if not more or level == LEVELS:
-            return found
+        if not more:
+            break
         labels = components(found)
-        nodes = large.select("node", "rid", "sig").mapInArrow(_branched, "node long, rid long")
+        nodes = large.select("node", "rid", "size", "sig").mapInArrow(_branched, "node long, rid long, size long")
     return found
 
 
