@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roster.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, quality, secret_scan
+from roster.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, quality, secret_scan, toxicity
 from roster.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.BASE_RULES]
@@ -68,7 +76,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing, op8_near_dedup,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing, op8_near_dedup,
                                                  op9_exact_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
