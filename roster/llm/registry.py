@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roster.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, quality, secret_scan, toxicity
+from roster.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, pii, quality, secret_scan, toxicity
 from roster.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +76,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing, op8_near_dedup,
-                                                 op9_exact_dedup)}
+                                                 op9_exact_dedup, op10_pii_surrogates)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
