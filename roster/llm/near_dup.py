@@ -24,7 +24,7 @@ doc_id of the component, null only if all are null; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -319,20 +319,34 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id), and stays (true for
-    exactly one row of every component)."""
+    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id), and version and stays: the
+    text's hash, and true for exactly one row of every component."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = pin(_sketches(docs).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    first = rows.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("rid").alias("rep"))
-    members = pin(rows.select("rid", "doc_id", "n_shingles", "set_hash").join(first, "set_hash", "left")
-                  .select("rid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("rid")).alias("rep")),
-                  "members")
+    first = pin(rows.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n"))
+                .filter("n > 1").select("set_hash", "rep"), "equal-sets")
+    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "rid")).otherwise(F.col("rid"))
+    members = pin(rows.select("rid", "doc_id", "version", "n_shingles", "set_hash").join(first, "set_hash", "left")
+                  .select("rid", "doc_id", "version", "n_shingles", rep.alias("rep")), "members")
     reps = members.filter("rid = rep AND n_shingles > 0").select("rid")
     whole = components(links(docs, rows.join(reps, "rid", "left_semi"), percent))
     named = (members.join(whole.withColumnRenamed("v", "rep"), "rep", "left")
-             .select("rid", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component")))
+             .withColumn("component", F.coalesce("component", "rep")))
     least = named.groupBy("component").agg(
         F.min("doc_id").alias("component_id"), F.coalesce(F.min_by("rid", "doc_id"), F.min("rid")).alias("stays"))
     return named.join(least, "component").select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        (F.col("rid") == F.col("stays")).alias("stays"))
+        "version", (F.col("rid") == F.col("stays")).alias("stays"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text and the columns named in ``carry`` of one document of every component, the one with the smallest
+    doc_id. Of rows that repeat a doc_id and its text any one stays."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carry"))
+    staying = (near_dedup(docs, percent).filter("stays")
+               .select(F.col("doc_id").alias("stays_id"), F.col("version").alias("stays_version")))
+    same = F.col("doc_id").eqNullSafe(F.col("stays_id")) & (F.col("version") == F.col("stays_version"))
+    found = texts.withColumn("version", F.xxhash64("text")).join(staying, same, "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "version"])
+    return found.select("doc_id", "text", *[F.col("carry")[c].alias(c) for c in carry])
