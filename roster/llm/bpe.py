@@ -24,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from roster.llm.pretokens import ChunkEncoder
+from roster.llm.shared import slices
 
 #: Stand-in characters for the bytes 0 to 255 (letters of one Unicode range, no spaces among them).
 FIRST_STAND_IN = 0x100
@@ -86,28 +87,33 @@ def _lists(values: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def bpe_encode(docs: DataFrame, model: Broadcast, pattern: str, rows: int = 512) -> DataFrame:
-    """(doc_id, ids). ``model`` is a broadcast of ``model_bytes``; ``rows`` bounds what a worker holds at once."""
+def bpe_encode(docs: DataFrame, model: Broadcast, pattern: str) -> DataFrame:
+    """(doc_id, ids). ``model`` is a broadcast of ``model_bytes``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(model.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, 1):
                 ids = [encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["doc_id", "ids"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def bpe_decode(encoded: DataFrame, tokens: Broadcast, rows: int = 512) -> DataFrame:
+def bpe_decode(encoded: DataFrame, tokens: Broadcast) -> DataFrame:
     """(doc_id, ids, bytes) for (doc_id, ids): the inverse mapping. ``tokens`` is a broadcast of ``read_ranks``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tokens.value.__getitem__
+        size = np.array([len(t) for t in tokens.value], dtype=np.int64)
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(tokens.value), dtype=np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                data = [b"".join(map(token, ids)) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())],
-                                                 names=["doc_id", "ids", "bytes"])
+            for part in slices(batch, 1, size=1 << 20):
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy()
+                sizes = size[ids]
+                ends = np.cumsum(sizes)
+                data = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[ids] - ends + sizes, sizes)]
+                at_id = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                offsets = np.concatenate([[0], ends])[at_id].astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, made], names=["doc_id", "ids", "bytes"])
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from roster.llm.shared import slices
+
 ORDER = 4
 SAMPLE = 400
 MAX_BYTES = 20_000
@@ -174,15 +176,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_bytes: int = MAX_BYTES)
     return fit(texts)
 
 
-def identify(docs: DataFrame, model: Model, carry: Sequence[str] = (), rows: int = 1024) -> DataFrame:
+def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, the columns named in ``carry``, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.select("doc_id", *carry, F.col("text").alias("text to identify"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, batch.num_columns - 1):
                 found = [shared.value.predict(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roster.llm.components import components
-from roster.llm.shared import pin
+from roster.llm.shared import pin, slices
 
 WORDS = 5
 PERCENT = 85
@@ -238,8 +238,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 2):
                 n, name, sig = [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingles(text)
@@ -258,8 +257,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rid, shingles) of the wanted rows (rid, doc_id, version), computed again from their texts."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 sets = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rid", "shingles"])
 

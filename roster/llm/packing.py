@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from roster.llm.pretokens import ChunkEncoder
+from roster.llm.shared import slices
 
 END_ID = 1
 
@@ -137,8 +138,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), prompt: str | No
         waiting: list[tuple] = []
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 for doc_id, text, *before in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     lead = encode(before[0] or "") if before else b""
                     ids = lead + encode(text or "") + end

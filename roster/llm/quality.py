@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from roster.llm.shared import slices
+
 SYMBOLS = "#*$%&|<>"
 #: Largest share of a text's word characters inside repeated n-grams, by n, and inside repeated lines.
 GRAM_LIMITS = {5: 0.45, 6: 0.44, 7: 0.43, 8: 0.42, 9: 0.41, 10: 0.40}
@@ -104,7 +106,7 @@ def measure(text: str, lengths: Iterable[int] = tuple(GRAM_LIMITS)) -> dict:
 
 
 def quality(docs: DataFrame, gram_limits: Mapping[int, float] = GRAM_LIMITS, line_limit: float = LINE_LIMIT,
-            min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, rows: int = 1024) -> DataFrame:
+            min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """One row per input row: doc_id, the base figures, gram_shares (in order of ``gram_limits``), line_share,
     base_failed, and kept."""
     lengths, limits = tuple(sorted(gram_limits)), [gram_limits[n] for n in sorted(gram_limits)]
@@ -112,8 +114,7 @@ def quality(docs: DataFrame, gram_limits: Mapping[int, float] = GRAM_LIMITS, lin
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, 1):
                 found = [measure(t or "", lengths) for t in part.column(1).to_pylist()]
                 failed = [m["n_words"] < min_words or 100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"]
                           for m in found]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from roster.llm.shared import pin
+from roster.llm.shared import pin, slices
 
 SEGMENT = 1024
 
@@ -171,8 +171,7 @@ def build_index(docs: DataFrame, vocabulary: Iterable[int] | None, segment: int
             numbered[words] = np.arange(1, len(words) + 1)
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, segment):
-                part = batch.slice(at, segment)
+            for part in slices(batch, 1, segment, 32 << 20):
                 found, where = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     codes = trigrams_of(text or "")
@@ -221,8 +220,7 @@ def candidates(index: DataFrame, queries: Sequence[Query]) -> DataFrame:
     return found.groupBy("doc_id").agg(F.bit_or("rules").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, carry: Sequence[str] = (),
-         rows: int = 1024) -> DataFrame:
+def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, text, the columns named in ``carry``, and spans, an array of (kind, start,
     end) ordered by start, then by the order of the rules."""
     queries = [derive(r) for r in rules]
@@ -236,8 +234,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, carry
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, 1):
                 found = []
                 for text, mask in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
                     mask |= always

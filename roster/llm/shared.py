@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +38,17 @@ def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Texts without multi-byte characters take the faster ``lower``."""
     plain = F.octet_length(c) == F.char_length(c)
     return F.when(plain, F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``rows`` rows, and at most ``size`` bytes (or list items) in one column unless a
+    single row has more."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    ends = np.cumsum(length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end

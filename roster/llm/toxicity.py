@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roster.llm.shared import pin
+from roster.llm.shared import pin, slices
 
 SAMPLE = 10_000
 MAX_BYTES = 20_000
@@ -68,8 +68,8 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE ** 3, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(at, 256).to_pylist():
+            for part in slices(batch, 0):
+                for text in part.column(0).to_pylist():
                     x = _LUT[np.frombuffer(f"  {text or ''} ".encode("latin-1", "replace"), dtype=np.uint8)]
                     np.add.at(total, (x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], 1)
         seen = np.flatnonzero(total)
@@ -305,7 +305,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.003, steps: int = 400)
     return w, b
 
 
-def score(docs: DataFrame, model: Model | None, rows: int = 1024) -> DataFrame:
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per input row: doc_id, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     if model is None:
@@ -315,8 +315,7 @@ def score(docs: DataFrame, model: Model | None, rows: int = 1024) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([scorer(t) for t in part.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
