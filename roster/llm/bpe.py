@@ -93,8 +93,7 @@ def bpe_encode(docs: DataFrame, model: Broadcast, pattern: str) -> DataFrame:
         encode = _encoder(model.value, pattern)
         for batch in batches:
             for part in slices(batch, 1):
-                ids = [encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(encode(part.column(1).to_pylist()))], names=["doc_id", "ids"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 

@@ -3,8 +3,8 @@
 Every example is tokenised, ended with an end id, and cut into pieces of at most ``tokens`` ids. Pieces are
 placed into sequences under three limits at once: tokens, number of segments, and tokens that bear loss. A
 sequence is filled greedily: of the pieces that still fit, the one whose demand vector has the largest dot
-product with the sequence's remaining capacities goes in next, until none fits. Demands and capacities are
-fractions of the limits. Pieces that fill a sequence alone are emitted at once; the others wait in a pool.
+product with the sequence's remaining capacities, less half its own square, goes in next, until none fits. Demands and
+capacities are fractions of the limits. Pieces that fill a sequence alone are emitted at once; the others wait in a pool.
 
 Each task packs its own partition, in pools of at most ``pool`` pieces, so memory is bounded, nothing is
 shuffled, and only the last sequences of a pool are left with much padding. ``sequence_id`` is the partition's
@@ -19,6 +19,7 @@ of their own; a null ``doc_id`` stays null; an empty table gives no piece; furth
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,18 +42,35 @@ class Limits:
     loss: int = 2048
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkEncoder:
-    """Ids of a ``tokenizers`` file; strings of special tokens in a text are ordinary text."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+def token_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Ids by token bytes of a byte-level vocabulary, whose strings have a printable character for every byte: the
+    printable ones of Latin-1 for themselves, then from U+0100 on for the others in their order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return ChunkEncoder(encode)
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> ChunkEncoder:
+    """Ids of a byte-level BPE ``tokenizers`` file; strings of special tokens in a text are ordinary text.
+
+    Such a file's ids are in the order of its merges, so they serve as ranks of the faster ``tiktoken`` encoder, which
+    gives the same ids; the file is refused if it is of another kind."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, special = file["model"], {t["content"] for t in file["added_tokens"]}
+    ranks = token_bytes({t: i for t, i in model["vocab"].items() if t not in special})
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    step = file["pre_tokenizer"]
+    if (model["type"], step["type"], step["add_prefix_space"], file["normalizer"]) != ("BPE", "ByteLevel", False, None) or \
+            merged != sorted(merged) or len(merged) + 256 != len(ranks):
+        raise ValueError(f"{path} isn't a plain byte-level BPE file with ids in the order of merges")
+    encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return ChunkEncoder(lambda pieces: [np.array(encode(p), dtype="<u4").tobytes() for p in pieces])
 
 
 def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[int]]:
@@ -68,14 +86,16 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[int
         w.reverse()
     t, x = kinds[:, 0], kinds[:, 1]
     ft, fx, fs = t / limits.tokens, x / limits.loss, 1 / limits.segments
+    half = (ft ** 2 + fx ** 2 + fs ** 2) / 2
     out, todo = [], int(left.sum())
     while todo:
         room_t, room_x, room_s, seq = limits.tokens, limits.loss, limits.segments, []
         while room_s:
             fits = (left > 0) & (t <= room_t) & (x <= room_x)
-            dot = np.where(fits, ft * (room_t / limits.tokens) + fx * (room_x / limits.loss) + fs * (room_s / limits.segments), -1)
+            dot = ft * (room_t / limits.tokens) + fx * (room_x / limits.loss) + fs * (room_s / limits.segments) - half
+            dot = np.where(fits, dot, -np.inf)
             k = int(dot.argmax())
-            if dot[k] < 0:
+            if not fits[k]:
                 break
             seq.append(waiting[k].pop())
             left[k] -= 1
@@ -102,7 +122,7 @@ SCHEMA = "start long, length long, ids binary, doc_tokens long, loss_tokens long
 
 
 def pack(docs: DataFrame, path: str, limits: Limits = Limits(), prompt: str | None = None, pool: int = 8192,
-         encoder: Callable[[str], Callable[[str], bytes]] = tokenizer) -> DataFrame:
+         encoder: Callable[[str], Callable[[list], list[bytes]]] = tokenizer) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens, loss_tokens,
     sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -139,9 +159,10 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), prompt: str | No
         for batch in batches:
             doc_type = batch.schema.field(0).type
             for part in slices(batch, 1):
-                for doc_id, text, *before in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    lead = encode(before[0] or "") if before else b""
-                    ids = lead + encode(text or "") + end
+                ids_of = [encode(c.to_pylist()) for c in part.columns[1:]]
+                leads = ids_of[1] if prompt else [b""] * part.num_rows
+                for doc_id, body, lead in zip(part.column(0).to_pylist(), ids_of[0], leads, strict=True):
+                    ids = lead + body + end
                     for start, piece, loss in _pieces(ids, len(lead) // 4 or 1, limits):
                         row = (doc_id, start, piece, len(ids) // 4, loss)
                         if len(piece) == 4 * limits.tokens:

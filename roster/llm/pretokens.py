@@ -8,7 +8,7 @@ and remembered. Beside other white space the rule doesn't hold, so nothing is cu
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 _BESIDE_SPACE = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -30,14 +30,13 @@ class ChunkEncoder:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
-    def __call__(self, text: str) -> bytes:
-        first, *rest = chunks(text)
-        known = self.known
-        new = [c for c in set(rest) if c not in known]
-        head = [first] if first else []
-        out = self.encode([*head, *(" " + c for c in new)]) if head or new else []
-        made = dict(zip(new, out[len(head):], strict=True))
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text (null: none); chunks not yet known are encoded in one call."""
+        parts, known = [chunks(t or "") for t in texts], self.known
+        new = list({c for p in parts for c in p[1:] if c not in known})
+        heads = [p[0] for p in parts]
+        out = self.encode([*heads, *(" " + c for c in new)])
+        made = dict(zip(new, out[len(heads):], strict=True))
         if len(known) < self.limit:
             known.update((c, b) for c, b in made.items() if len(c) <= MAX_CACHED_CHARS)
-        body = map(known.__getitem__, rest) if not made else [known.get(c) or made[c] for c in rest]
-        return b"".join([*out[:len(head)], *body])
+        return [head + b"".join([known.get(c) or made[c] for c in p[1:]]) for head, p in zip(out, parts, strict=False)]
