@@ -96,11 +96,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The smallest of the upper 32 bits of every coordinate's scrambled shingles."""
+    """The lower half of the smallest of the upper 32 bits of every coordinate's scrambled shingles."""
     low = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint64)
     for at in range(0, len(s), 4096):
         low = np.minimum(low, ((s[None, at:at + 4096] * _SALT[:, None]) >> np.uint64(32)).min(axis=1))
-    return low.astype(np.uint32)
+    return (low & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def choices(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
 
 
 def _rooted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +266,27 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # The wanted rows grow with the input: a shuffle join at every size.
     same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("version") == F.col("wanted_version"))
     found = texts.join(wanted.hint("shuffle_merge"), same).select("rid", "text")
-    return found.mapInArrow(run, "rid long, shingles binary").dropDuplicates(["rid"])
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["rid"])
+    return found.mapInArrow(run, "rid long, shingles binary")
+
+
+def _work(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cluster, rid) groups to compare: clusters with members in common are put together where that keeps to the
+    limits of a node, so that most sets are needed once; the others stay as they are."""
+    heads = clusters.groupBy("cluster").agg(F.min("rid").alias("a"))
+    joint = components(clusters.join(heads, "cluster").select("a", F.col("rid").alias("b"))).withColumnRenamed("v", "rid")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / SMALL, F.sum("n_shingles") / WEIGHT))
+    size = joint.join(sizes, "rid").groupBy("component").agg(parts.alias("parts"))
+    placed = pin(joint.join(size, "component"), "joint")
+    whole = placed.filter("parts = 1").select(F.col("component").alias("cluster"), "rid")
+    return whole.unionByName(clusters.join(placed.filter("parts > 1").select("rid"), "rid", "left_semi"))
 
 
 def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): confirmed links that join all similar representatives of ``rows`` (rid, doc_id, version, n_shingles,
     sig)."""
-    sigs = rows.select("rid", "sig")
+    sigs, sizes = rows.select("rid", "sig"), rows.select("rid", "n_shingles")
     nodes = rows.select("rid", F.col("n_shingles").alias("size"), "sig").mapInArrow(_rooted, "node long, rid long, size long")
     sets = labels = found = None
     for level in range(LEVELS + 1):
@@ -286,8 +300,8 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
                  .filter("n > 1 AND low < high")
                  .select("node", "head", F.ceil(F.greatest(F.col("n") / SMALL, F.col("weight") / WEIGHT)).alias("parts")))
         nodes = pin(nodes.join(alive, "node"), "nodes")
-        if sets is None:
-            sets = pin(_sets(docs, rows.join(nodes.select("rid").distinct(), "rid", "left_semi")), "sets")
+        if level == 0:      # the others meet nobody
+            sigs = pin(sigs.join(nodes.select("rid").distinct(), "rid", "left_semi"), "node-sketches")
         with_sigs = nodes.join(sigs, "rid")
         clusters = (with_sigs.filter("parts = 1").select("node", "rid", "label", "sig")
                     .groupBy("node").applyInArrow(_close, "cluster long, rid long"))
@@ -305,7 +319,11 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
             clusters = clusters.unionByName(
                 large.select("node", "rid", block.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
                 .select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("cluster"), "rid"))
-        made = (clusters.distinct().join(sets, "rid").groupBy("cluster")
+        clusters = pin(clusters.distinct(), "clusters")
+        if sets is None:
+            wanted = clusters.select("rid").union(nodes.filter("parts > 1").select("rid")).distinct()
+            sets = pin(_sets(docs, rows.join(wanted, "rid", "left_semi")), "sets")
+        made = (_work(clusters, sizes).join(sets, "rid").groupBy("cluster")
                 .applyInArrow(lambda t: _linked(t, percent), "a long, b long"))
         made = pin(made.distinct(), "links")
         found = made if found is None else found.unionByName(made)
