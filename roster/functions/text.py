@@ -20,6 +20,8 @@ MONEY_PREFIX = "R$ "
 OPEN_STATUSES = ("Pendente", "Atrasada")
 DEFAULT_HEALTH_NOTE = "Apto"
 DATE_PATTERN = "dd/MM/yyyy"
+# Any character but the white space of Unicode and the four separators U+001C to U+001F.
+NOT_WHITE = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _c(c: str | Column) -> Column:
@@ -27,9 +29,9 @@ def _c(c: str | Column) -> Column:
 
 
 def brl(amount: str | Column) -> Column:
-    """Brazilian money text: 1270 -> 'R$ 1.270,00'; NULL -> ''. Rounds the double value half-even,
-    like Python's format spec, then swaps the grouping and decimal marks."""
-    us = F.format_number(_c(amount).cast("double"), 2)
+    """Brazilian money text: 1270 -> 'R$ 1.270,00'; NULL -> ''. Formats the decimal value itself, so no cents are
+    lost in large sums, then swaps the grouping and decimal marks."""
+    us = F.format_number(_c(amount).cast("decimal(38,2)"), 2)
     return F.coalesce(F.concat(F.lit(MONEY_PREFIX), F.translate(us, ",.", ".,")), F.lit(""))
 
 
@@ -53,4 +55,5 @@ def category(is_team: str | Column) -> Column:
 
 
 def non_blank(name: str | Column) -> Column:
-    return F.coalesce(F.trim(_c(name)) != F.lit(""), F.lit(False))
+    """Has a character that isn't white space (Unicode)."""
+    return F.coalesce(_c(name).rlike(NOT_WHITE), F.lit(False))

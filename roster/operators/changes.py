@@ -50,7 +50,9 @@ def insert_people(t: Tables, role: str, batch: DataFrame, run_date: dt.date | st
     """New people with a role (``student`` or ``instructor``). Student defaults: health note 'Apto' and
     the enrolment date of the run (a job argument rather than the clock, so reruns agree)."""
     if role == "student":
-        day = F.lit(str(run_date or dt.date.today())).cast("date")
+        if run_date is None:
+            raise ValueError("run_date is needed: it is the enrolment date of students without one")
+        day = F.lit(str(run_date)).cast("date")
         batch = (batch.withColumn("enrolled_on", F.coalesce(F.col("enrolled_on").cast("date"), day))
                  .withColumn("health_note", F.coalesce(F.col("health_note"),
                                                        F.lit(text.DEFAULT_HEALTH_NOTE))))
@@ -99,10 +101,11 @@ def insert_sports(t: Tables, batch: DataFrame) -> InsertResult:
 
 
 def update_by_key(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Overwrite ``columns`` (NULLs included) of the rows whose ``key`` appears in ``changes``.
-    ``changes`` must hold one row per key (see ``changelog.latest_per_key`` to reduce a log first)."""
-    ch = changes.select(F.col(key), *[F.col(c).alias(f"__new_{c}") for c in columns]) \
-                .withColumn("__hit", F.lit(True))
+    """Overwrite ``columns`` (NULLs included) of the rows whose ``key`` appears in ``changes``. A key that
+    appears twice fails the job: which of its rows is meant can't be told (``changelog.latest_per_key`` reduces
+    a log by a given order first)."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"a {key} appears twice in the changes"))).otherwise(F.lit(True))
+    ch = changes.groupBy(key).agg(*[F.any_value(c).alias(f"__new_{c}") for c in columns], once.alias("__hit"))
     j = table.join(ch, key, "left")
     out = [(F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c))
             .cast(table.schema[c].dataType).alias(c)) if c in columns else F.col(c) for c in table.columns]

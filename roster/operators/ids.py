@@ -25,8 +25,9 @@ def next_id_column(existing: DataFrame | Column, id_col: str = "id") -> Column:
 
 
 def allocate_ids(existing: DataFrame | Column, batch: DataFrame, order: Sequence[str], id_col: str = "id",
-                 existing_id_col: str = "id", max_local_rows: int = 0) -> DataFrame:
-    """Number ``batch`` after the largest id of ``existing`` (a table, or its largest id as a column).
-    ``max_local_rows`` lets a batch that is checked to be small take the single-task path."""
-    return dense_index(batch, order, id_col=id_col, start=next_id_column(existing, existing_id_col),
-                       max_local_rows=max_local_rows)
+                 existing_id_col: str = "id") -> DataFrame:
+    """Number ``batch`` after the largest id of ``existing`` (a table, or its largest id as a column). Rows equal
+    in all of ``order`` are interchangeable; a random tie-break spreads them over the range partitions."""
+    tied = batch.withColumn("__tie", F.rand())
+    return dense_index(tied, order, id_col=id_col, start=next_id_column(existing, existing_id_col),
+                       tiebreak=["__tie"]).drop("__tie")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roster import schema
@@ -75,19 +75,25 @@ def unlink(t: Tables, kind: str, pairs: DataFrame) -> LinkResult:
     a, b = spec.a, spec.b
     req = pairs.select(F.col(pairs.columns[0]).alias(a), F.col(pairs.columns[1]).alias(b))
     current = t.get(spec.table)
+    asked = req.groupBy(a, b).agg(F.count(F.lit(1)).alias("asked"))
     if set(schema.table(spec.table).primary_key) == {a, b}:
-        new_table = current.join(req, [a, b], "left_anti")
+        held = current.select(a, b).withColumn("held", F.lit(1).cast("bigint"))
+        new_table = current.join(asked.select(a, b), [a, b], "left_anti")
     else:
-        first = (current.select("id", a, b).join(req, [a, b], "left_semi")
-                 .groupBy(a, b).agg(F.min("id").alias("id")))
-        new_table = current.join(first.select("id"), "id", "left_anti")
-    return LinkResult(t.replace(**{spec.table: new_table}), new_table, req.withColumn("outcome", F.lit("removed")))
+        # As many copies go as are asked for, those with the smallest ids. Only requested pairs are ranked.
+        ranked = current.select("id", a, b).join(asked, [a, b]).withColumn(
+            "copy", F.row_number().over(Window.partitionBy(a, b).orderBy("id")))
+        held = current.join(asked.select(a, b), [a, b], "left_semi").groupBy(a, b).agg(F.count(F.lit(1)).alias("held"))
+        new_table = current.join(ranked.filter("copy <= asked").select("id"), "id", "left_anti")
+    outcome = F.when(F.col("turn") <= F.coalesce("held", F.lit(0)), "removed").otherwise("not_found")
+    outcomes = (asked.join(held, [a, b], "left").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("asked"))))
+                .select(a, b, outcome.alias("outcome")))
+    return LinkResult(t.replace(**{spec.table: new_table}), new_table, outcomes)
 
 
 def resolve_labels(t: Tables, kind: str) -> DataFrame:
     """label -> (a, b) of the last row in (a's name, row id) order; for tables without a row id, the pair
     itself is the tie-break."""
-    named = named_links(t, kind)
     if kind == "enrollment":
         ids = t.get("enrollment", "id", "student_id", "class_id")
         spec = LINKS[kind]
@@ -98,6 +104,7 @@ def resolve_labels(t: Tables, kind: str) -> DataFrame:
                          text.link_label(kind, "a_name", "b_name").alias("label")))
         order = F.struct("a_name", "id")
     else:
+        named = named_links(t, kind)
         order = F.struct("a_name", "a", "b")
     picked = named.groupBy("label").agg(F.max_by(F.struct("a", "b"), order).alias("p"))
     return picked.select("label", "p.a", "p.b")

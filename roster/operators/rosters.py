@@ -106,18 +106,12 @@ def lookup_sport(t: Tables, keys: DataFrame | Iterable[int]) -> DataFrame:
     return _keyed(t.get("sport", "id", "name", "description", "is_team"), "id", keys)
 
 
-# Single-record lookups with a bound parameter (the reference's ``WHERE id = :id``): the SQL text is fixed,
-# the id travels as a named parameter, and the model tables are passed in as DataFrames.
-_LOOKUP_SQL = {
-    "student": ("SELECT p.id, p.name, p.tax_id, p.email, p.born_on, a.enrolled_on, a.health_note "
-                "FROM {student} a JOIN {person} p ON a.person_id = p.id WHERE p.id = :id", ("student", "person")),
-    "instructor": ("SELECT id, name, tax_id, email, born_on FROM {person} WHERE id = :id", ("person",)),
-    "class_group": ("SELECT id, name, capacity, sport_id, schedule_id FROM {class_group} WHERE id = :id",
-                    ("class_group",)),
-    "sport": ("SELECT id, name, description, is_team FROM {sport} WHERE id = :id", ("sport",)),
-}
-
-
 def lookup_one(t: Tables, kind: str, ident: int) -> DataFrame:
-    text_, names = _LOOKUP_SQL[kind]
-    return t.spark.sql(text_, args={"id": ident}, **{n: t.get(n) for n in names})
+    """One record's editable fields; the id travels as a named parameter of a fixed statement."""
+    everyone = {
+        "student": lambda: _role_people(t, "student", role_cols=("enrolled_on", "health_note")),
+        "instructor": lambda: t.get("person", *PERSON_FIELDS),
+        "class_group": lambda: t.get("class_group", "id", "name", "capacity", "sport_id", "schedule_id"),
+        "sport": lambda: t.get("sport", "id", "name", "description", "is_team"),
+    }
+    return t.spark.sql("FROM {records} |> WHERE id <=> :wanted", args={"wanted": ident}, records=everyone[kind]())

@@ -33,135 +33,134 @@ def register(name: str, oracle: str | None):
 
 
 def _brl_sql(expr: str) -> str:
-    return f"coalesce('R$ ' || translate(format('{{:,.2f}}', cast({expr} as double)), ',.', '.,'), '')"
+    """Money text of a decimal, from its whole part and its cents."""
+    whole = f"cast(floor(abs(cast({expr} as decimal(38,2)))) as bigint)"
+    cents = f"cast((abs(cast({expr} as decimal(38,2))) - {whole}) * 100 as integer)"
+    return (f"coalesce('{text.MONEY_PREFIX}' || case when {expr} < 0 then '-' else '' end "
+            f"|| replace(format('{{:,}}', {whole}), ',', '.') || ',' || lpad(cast({cents} as varchar), 2, '0'), '')")
 
 
 def _category_sql(flag: str) -> str:
-    return f"case when {flag} = true then '{text.TEAM}' else '{text.INDIVIDUAL}' end"
+    return f"if(coalesce({flag}, false), '{text.TEAM}', '{text.INDIVIDUAL}')"
 
 
 # ---------------------------------------------------------------- reports
 
-register("kpi", """
-select (select count(*) from student) as students,
-       (select count(*) from instructor) as instructors,
-       (select count(*) from class_group) as classes,
-       (select count(*) from sport) as sports,
-       (select count(*) from enrollment) as enrollments,
-       (select count(*) from invoice m join invoice_status s on m.status_id = s.id
-         where s.name in ('Pendente', 'Atrasada')) as open_invoices,
-       (select count(*) from plan) as plans,
-       (select cast(coalesce(sum(capacity), 0) as bigint) from class_group) as seats
-""")(reports.kpi)
+def _single_row(**figures: str) -> str:
+    """One row of independent figures, each a one-row subquery."""
+    return "select * from " + ", ".join(f"(select cast({sql} as bigint) as {name} {rest})"
+                                        for name, (sql, rest) in ((n, f.split(" ", 1)) for n, f in figures.items()))
+
+
+_OPEN = ", ".join(f"'{s}'" for s in text.OPEN_STATUSES)
+register("kpi", _single_row(
+    students="count(*) from student", instructors="count(*) from instructor", classes="count(*) from class_group",
+    sports="count(*) from sport", enrollments="count(*) from enrollment",
+    open_invoices=f"count(*) from invoice where status_id in (select id from invoice_status where name in ({_OPEN}))",
+    plans="count(*) from plan", seats="coalesce(sum(capacity),0) from class_group"))(reports.kpi)
 
 register("occupancy", """
-select t.id as class_id, t.name as class_name, e.name as sport_name, t.capacity as capacity,
-       count(m.student_id) as enrolled
-from class_group t join sport e on t.sport_id = e.id left join enrollment m on t.id = m.class_id
-group by t.id, t.name, e.name, t.capacity
+with taken as (select class_id, count(student_id) as n from enrollment group by class_id)
+select c.id as class_id, c.name as class_name, sport.name as sport_name, capacity, coalesce(n, 0) as enrolled
+from class_group c join sport on sport.id = sport_id left join taken on class_id = c.id
 """)(reports.occupancy)
 
-register("invoice_summary", f"""
-select s.id as status_id, s.name as status, count(m.id) as invoices,
-       cast(sum(m.amount) as decimal(38,2)) as total, {_brl_sql('sum(m.amount)')} as total_brl
-from invoice m join invoice_status s on m.status_id = s.id
-group by s.id, s.name
-""")(reports.invoice_summary)
 
-register("plan_revenue", f"""
-select per.id as period_id, per.name as period, count(pp.id) as plans,
-       cast(sum(pp.amount) as decimal(38,2)) as total, {_brl_sql('sum(pp.amount)')} as total_brl
-from plan pp join billing_period per on pp.period_id = per.id
-group by per.id, per.name
-""")(reports.plan_revenue)
+def _money_report(fact: str, key: str, dim: str, label: str, counted: str) -> str:
+    """Amounts of a fact table added up by a lookup key, then named; lookup rows without facts don't show."""
+    return f"""
+with sums as (select {key}, count(id) as {counted}, sum(amount) as amount from {fact} group by {key})
+select {key}, {dim}.name as {label}, {counted}, cast(amount as decimal(38,2)) as total, {_brl_sql("amount")} as total_brl
+from {dim} join sums on sums.{key} = {dim}.id
+"""
+
+
+register("invoice_summary", _money_report("invoice", "status_id", "invoice_status", "status", "invoices"))(reports.invoice_summary)
+register("plan_revenue", _money_report("plan", "period_id", "billing_period", "period", "plans"))(reports.plan_revenue)
 
 register("seats_by_category", f"""
-select e.is_team as is_team, {_category_sql('e.is_team')} as category, cast(sum(t.capacity) as bigint) as seats
-from sport e join class_group t on e.id = t.sport_id
-group by e.is_team
+with seats as (select sport_id, sum(capacity) as n, count(*) as classes from class_group group by sport_id)
+select is_team, any_value({_category_sql("is_team")}) as category, cast(sum(n) as bigint) as seats
+from sport, seats where seats.sport_id = sport.id group by is_team
 """)(reports.seats_by_category)
 
 register("instructor_load", """
-select p.id as instructor_id, p.name as instructor, count(mi.class_id) as classes
-from person p join instructor pr on p.id = pr.person_id join teaches mi on pr.person_id = mi.instructor_id
-group by p.id, p.name
+with load as (select instructor_id, count(class_id) as classes from teaches group by instructor_id)
+select instructor_id, name as instructor, classes from load join person on id = instructor_id
+where instructor_id in (from instructor select person_id)
 """)(reports.instructor_load)
 
-# ---------------------------------------------------------------- rosters
+# ---------------------------------------------------------------- rosters, labels
+
 
-register("student_roster", """
-select p.id as id, p.name as name, p.tax_id as tax_id, p.email as email,
-       strftime(p.born_on, '%d/%m/%Y') as born_on, strftime(a.enrolled_on, '%d/%m/%Y') as enrolled_on,
-       a.health_note as health_note
-from student a join person p on a.person_id = p.id
-""")(rosters.student_roster)
+def _day_sql(column: str) -> str:
+    return f"strftime({column}, '%d/%m/%Y') as {column}"
 
-register("instructor_roster", """
-select p.id as id, p.name as name, p.tax_id as tax_id, p.email as email,
-       strftime(p.born_on, '%d/%m/%Y') as born_on
-from instructor pr join person p on pr.person_id = p.id
-""")(rosters.instructor_roster)
+
+def _people_sql(role: str, columns: list[str], role_columns: list[str] = []) -> str:  # noqa: B006 - not changed
+    """People who hold a role, with columns of the role's own table."""
+    return f"from {role} natural join (select *, id as person_id from person) select {', '.join([*columns, *role_columns])}"
+
+
+register("student_roster", _people_sql("student", ["id", "name", "tax_id", "email", _day_sql("born_on")],
+                                       [_day_sql("enrolled_on"), "health_note"]))(rosters.student_roster)
+register("instructor_roster", _people_sql("instructor", ["id", "name", "tax_id", "email", _day_sql("born_on")]))(
+    rosters.instructor_roster)
 
 register("class_roster", """
-select t.id as id, t.name as name, t.capacity as capacity, e.name as sport, h.name as schedule
-from class_group t left join sport e on t.sport_id = e.id left join schedule h on t.schedule_id = h.id
+select id, name, capacity, (select s.name from sport s where s.id = sport_id) as sport,
+       (select h.name from schedule h where h.id = schedule_id) as schedule from class_group
 """)(rosters.class_roster)
 
-register("sport_roster", f"""
-select id, name, description, {_category_sql('is_team')} as category from sport
-""")(rosters.sport_roster)
+register("sport_roster", f"from sport select id, name, description, {_category_sql('is_team')} as category")(rosters.sport_roster)
 
+_LABEL_SQL = "select id, format('{} - {}', id, name) as label from"
 for _role in rosters.ROLE_TABLES:
-    register(f"labels_{_role}", f"""
-select p.id as id, cast(p.id as varchar) || ' - ' || p.name as label
-from {_role} r join person p on r.person_id = p.id
-""")(lambda t, _role=_role: rosters.labels(t, _role))
+    register(f"labels_{_role}", f"{_LABEL_SQL} person where id in (from {_role} select person_id)")(
+        lambda t, _role=_role: rosters.labels(t, _role))
 
 for _key, _tbl in (("class", "class_group"), ("sport", "sport"), ("plan", "plan"), ("schedule", "schedule")):
-    register(f"labels_{_key}", f"""
-select id, cast(id as varchar) || ' - ' || name as label from {_tbl}
-""")(lambda t, _tbl=_tbl: rosters.labels(t, _tbl))
+    register(f"labels_{_key}", f"{_LABEL_SQL} {_tbl}")(lambda t, _tbl=_tbl: rosters.labels(t, _tbl))
 
 # Lookups: the batch of requested ids comes from another table (the editing flows of the reference
 # pick an id from a list; here the requests are every id that table references).
-register("lookup_student", """
-select p.id as id, p.name as name, p.tax_id as tax_id, p.email as email, p.born_on as born_on,
-       a.enrolled_on as enrolled_on, a.health_note as health_note
-from student a join person p on a.person_id = p.id
-where p.id in (select student_id from guardianship)
-""")(lambda t: rosters.lookup_student(t, t.get("guardianship", "student_id")))
+def _requested(rows: str, column: str, link: str) -> str:
+    """The rows whose id some link refers to."""
+    return f"with records as ({rows}) from records semi join (select {column} as id from {link}) using (id)"
+
+
+register("lookup_student", _requested(
+    _people_sql("student", ["id", "name", "tax_id", "email", "born_on"], ["enrolled_on", "health_note"]),
+    "student_id", "guardianship"))(lambda t: rosters.lookup_student(t, t.get("guardianship", "student_id")))
+register("lookup_instructor", _requested("from person select id, name, tax_id, email, born_on", "instructor_id", "qualified"))(
+    lambda t: rosters.lookup_instructor(t, t.get("qualified", "instructor_id")))
+register("lookup_class", _requested("from class_group select id, name, capacity, sport_id, schedule_id", "class_id", "teaches"))(
+    lambda t: rosters.lookup_class(t, t.get("teaches", "class_id")))
+register("lookup_sport", _requested("from sport select id, name, description, is_team", "sport_id", "class_group"))(
+    lambda t: rosters.lookup_sport(t, t.get("class_group", "sport_id")))
+
+# A single record by a bound id: the one the rules of the data make largest.
+for _kind, _rows in (("student", _people_sql("student", ["id", "name", "tax_id", "email", "born_on"], ["enrolled_on", "health_note"])),
+                     ("instructor", "from person select id, name, tax_id, email, born_on"),
+                     ("class_group", "from class_group select id, name, capacity, sport_id, schedule_id"),
+                     ("sport", "from sport select id, name, description, is_team")):
+    register(f"lookup_one_{_kind}", f"with records as ({_rows}) from records where id = 4")(
+        lambda t, _kind=_kind: rosters.lookup_one(t, _kind, 4))
 
-register("lookup_instructor", """
-select id, name, tax_id, email, born_on from person where id in (select instructor_id from qualified)
-""")(lambda t: rosters.lookup_instructor(t, t.get("qualified", "instructor_id")))
+# ---------------------------------------------------------------- links
 
-register("lookup_class", """
-select id, name, capacity, sport_id, schedule_id from class_group where id in (select class_id from teaches)
-""")(lambda t: rosters.lookup_class(t, t.get("teaches", "class_id")))
 
-register("lookup_sport", """
-select id, name, description, is_team from sport where id in (select sport_id from class_group)
-""")(lambda t: rosters.lookup_sport(t, t.get("class_group", "sport_id")))
+def named_links_sql(kind: str) -> str:
+    """Every row of a link table as (a, b, a_name, label), from the link's specification."""
+    spec = links.LINKS[kind]
+    return (f"select x.{spec.a} as a, x.{spec.b} as b, one.name as a_name, "
+            f"one.name || '{text.LINK_PHRASES[kind]}' || other.name as label{', x.id as id' if kind == 'enrollment' else ''} "
+            f"from {spec.table} x join person one on one.id = x.{spec.a} join {spec.b_table} other on other.{spec.b_key} = x.{spec.b}")
 
-# ---------------------------------------------------------------- links
 
-_LINK_SQL = {
-    "enrollment": ("enrollment m join person p on m.student_id = p.id join class_group t on m.class_id = t.id",
-                   "m.student_id", "m.class_id", "p.name", "t.name"),
-    "teaches": ("teaches mi join person p on mi.instructor_id = p.id join class_group t on mi.class_id = t.id",
-                "mi.instructor_id", "mi.class_id", "p.name", "t.name"),
-    "qualified": ("qualified esp join person p on esp.instructor_id = p.id join sport e on esp.sport_id = e.id",
-                  "esp.instructor_id", "esp.sport_id", "p.name", "e.name"),
-    "guardianship": ("guardianship en join person pa on en.student_id = pa.id join person pr "
-                     "on en.guardian_id = pr.id", "en.student_id", "en.guardian_id", "pa.name", "pr.name"),
-    "student_plan": ("student_plan pl join person p on pl.student_id = p.id join plan pp on pl.plan_id = pp.id",
-                     "pl.student_id", "pl.plan_id", "p.name", "pp.name"),
-}
-
-for _kind, (_from, _a, _b, _an, _bn) in _LINK_SQL.items():
-    register(f"links_{_kind}", f"""
-select {_a} as a, {_b} as b, {_an} || '{text.LINK_PHRASES[_kind]}' || {_bn} as label from {_from}
-""")(lambda t, _kind=_kind: links.links(t, _kind))
+for _kind in links.LINKS:
+    register(f"links_{_kind}", f"select a, b, label from ({named_links_sql(_kind)})")(
+        lambda t, _kind=_kind: links.links(t, _kind))
 
 # ---------------------------------------------------------------- counts and ids
 

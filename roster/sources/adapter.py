@@ -101,10 +101,7 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def schedule(cols):
         names = src("part").select(F.col("p_type").alias("name")).distinct()
-        # One row per name: the check that picks the numbering path also bounds the table for broadcast.
-        small = bc.row_bound_holds(names, bc.DEFAULT_MAX_ROWS)
-        t().mark_small("schedule", small)
-        return _typed(dense_index(names, ["name"], small=small), "schedule")
+        return _typed(dense_index(names, ["name"]), "schedule")
 
     def time_slot(cols):
         hours = src("events").select(F.hour("ts").alias("h")).distinct()
@@ -146,14 +143,18 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def class_group(cols):
         p = src("part")
+        sid = F.when((F.col("p_partkey") % 50 == 0) | (F.col("p_brand") == "Brand#25"), F.lit(None)) \
+               .otherwise(_brand_no())
+        own = [F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("capacity"),
+               sid.alias("sport_id")]
+        if cols is not None and "schedule_id" not in cols:
+            # Every type has a schedule, so without its number only parts without a type drop out.
+            typed = p.filter(F.col("p_type").isNotNull())
+            return _typed(typed.select(*own, F.lit(None).alias("schedule_id")), "class_group")
         sched = t().dim("schedule", "id", "name").select(F.col("id").alias("__sched"),
                                                           F.col("name").alias("__sched_name"))
         j = p.join(sched, F.col("__sched_name") == F.col("p_type"))
-        sid = F.when((F.col("p_partkey") % 50 == 0) | (F.col("p_brand") == "Brand#25"), F.lit(None)) \
-               .otherwise(_brand_no())
-        return _typed(j.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
-                               F.col("p_size").alias("capacity"), F.col("__sched").alias("schedule_id"),
-                               sid.alias("sport_id")), "class_group")
+        return _typed(j.select(*own, F.col("__sched").alias("schedule_id")), "class_group")
 
     def session(cols):
         e = src("events")
@@ -246,5 +247,5 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     # Enrollment ids are row numbers 1..n, so the largest id is the row count: no numbering needed.
     max_ids = {"enrollment": lambda: t().get("enrollment", "class_id").agg(F.count(F.lit(1)).cast("bigint")).scalar()}
     holder["tables"] = Tables(spark, builders, sources, origin=sf_dir, max_ids=max_ids,
-                              projection_aware={"enrollment"})
+                              projection_aware={"enrollment", "class_group"})
     return holder["tables"]

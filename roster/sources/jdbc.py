@@ -84,7 +84,7 @@ def read_jdbc_table(spark: SparkSession, name: str, url: str, properties: dict[s
                     bounds: tuple[int, int] | None = None, num_partitions: int | None = None) -> DataFrame:
     source_table, cols = SOURCE_NAMES[name]
     pk = schema.table(name).primary_key
-    partition = cols[pk[0]] if bounds and len(pk) == 1 else None
+    partition = cols[pk[0]] if bounds else None     # a composite key is split on its first column
     opts = jdbc_options(url, source_table, properties, partition, *(bounds or (None, None)),
                         num_partitions if partition else None)
     return to_model(spark.read.format("jdbc").options(**opts).load(), name)

@@ -1,13 +1,12 @@
 """Model tables as Parquet folders: write, read back with explicit schemas, and load once (S1, S5, S7).
 
 ``load_once`` is the start-up load: every table whose folder is missing or empty is written from the
-given source tables; tables that already hold rows are left alone (the reference checks only its person
-table; here every table is checked). Writes go to a new folder per table and never over the input.
+given source tables; tables that already hold rows under the folder the caller names are left alone. Writes go to a new folder per table and never over the input.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -52,10 +51,8 @@ def load_once(t: Tables, root: str, names: Iterable[str] | None = None) -> list[
     return written
 
 
-def shared_model_folder(t: Tables) -> str:
-    """Folder for the loaded model of ``t``'s origin, inside the session's checkpoint directory (the shared
-    folder the cluster names in ``spark.checkpoint.dir``)."""
+def fresh_model_folder(spark: SparkSession) -> str:
+    """A new folder for a loaded model inside the session's checkpoint directory (the shared folder the cluster
+    names in ``spark.checkpoint.dir``). It is never reused, so a load always reflects the input as it is."""
     from roster.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(t.spark).rstrip("/")
-    tag = hashlib.sha1((t.origin or "unknown").encode()).hexdigest()[:16]
-    return f"{base}/roster-model/{tag}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roster-model/{uuid.uuid4().hex}"

@@ -23,13 +23,16 @@ def rows_frame(spark: SparkSession, name: str, rows: Sequence[Row], columns: Seq
     spec = schema.table(name)
     cols = list(columns) if columns is not None else None
     records = []
-    for i, row in enumerate(rows, start=1):
+    last = 0
+    for row in rows:
         rec = dict(row) if isinstance(row, Mapping) else dict(zip(cols or spec.columns, row, strict=True))
         unknown = set(rec) - set(spec.columns)
         if unknown:
             raise KeyError(f"{name}: unknown columns {sorted(unknown)}")
-        if name in schema.AUTO_INCREMENT and rec.get("id") is None:
-            rec["id"] = i
+        if name in schema.AUTO_INCREMENT:
+            if rec.get("id") is None:
+                rec["id"] = last + 1
+            last = max(last, rec["id"])
         records.append(tuple(rec.get(c) for c in spec.columns))
     return spark.createDataFrame(records, spec.schema)
 

@@ -83,10 +83,6 @@ class Tables:
             return self._max_ids[name]()
         return self.get(name, id_col).agg(F.max(id_col)).scalar()
 
-    def mark_small(self, name: str, small: bool) -> None:
-        """Record a row-count check already made for ``name`` (so ``dim`` need not repeat it)."""
-        self._small[name] = small
-
     def replace(self, **frames: DataFrame) -> "Tables":
         """A new version with some tables replaced (the change jobs return these)."""
         builders = dict(self._builders)

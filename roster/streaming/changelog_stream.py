@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +25,9 @@ def version_path(state_dir: str, batch_id: int) -> str:
     return f"{state_dir.rstrip('/')}/v={batch_id:012d}"
 
 
-def read_version(spark: SparkSession, state_dir: str, batch_id: int, state_schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(state_schema).parquet(version_path(state_dir, batch_id))
-    except AnalysisException:
-        return None
+def read_version(spark: SparkSession, state_dir: str, batch_id: int, state_schema: T.StructType) -> DataFrame:
+    """The state after a batch. A missing folder raises: going on without it would lose every earlier change."""
+    return spark.read.schema(state_schema).parquet(version_path(state_dir, batch_id))
 
 
 def start_changelog_stream(spark: SparkSession, source_dir: str, source_schema: T.StructType | str, state_dir: str,
@@ -47,8 +44,9 @@ def start_changelog_stream(spark: SparkSession, source_dir: str, source_schema:
     state_schema = T.StructType([changes.schema[c] for c in keys + cols])
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        previous = read_version(batch.sparkSession, state_dir, batch_id - 1, state_schema) if batch_id else None
-        if previous is None:
+        if batch_id > 0:
+            previous = read_version(batch.sparkSession, state_dir, batch_id - 1, state_schema)
+        else:
             previous = initial.select(*keys, *cols) if initial is not None else None
         state = apply_changes(previous, batch, keys, order, op_col, delete_ops, cols, keep_deletes=True)
         state.write.mode("overwrite").parquet(version_path(state_dir, batch_id))

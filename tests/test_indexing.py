@@ -40,7 +40,10 @@ def test_repeated_evaluation_is_consistent(spark):
     assert ix.agg(F.countDistinct("id"), F.max("id")).first() == (20000, 20000)
 
 
-def test_small_input_takes_bounded_window(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
-    out = dense_index(df, ["name"], max_local_rows=100).collect()
-    assert {r.name: r.id for r in out} == {"a": 1, "b": 2, "c": 3}
+def test_allocated_ids_with_a_hot_tie(spark):
+    from roster.operators.ids import allocate_ids
+    batch = spark.range(6000).selectExpr("if(id % 3 = 0, 1, id) AS a", "if(id % 3 = 0, 1, 2) AS b")
+    out = allocate_ids(spark.createDataFrame([(10,)], "id long"), batch, ["a", "b"])
+    assert sorted(r.id for r in out.collect()) == list(range(11, 6011)) and out.columns == ["a", "b", "id"]
+    pairs = [(r.a, r.b) for r in out.orderBy("id").collect()]
+    assert pairs == sorted(pairs)
