@@ -191,9 +191,10 @@ def _rendered() -> Column:
     before = lambda i: F.length(F.regexp_replace(F.substr(v, F.lit(1), i), slots, F.lit("")))
     placed = F.array_join(F.transform(F.split(v, ""), lambda c, i: F.when(
         F.regexp_replace(c, slots, F.lit("")) != "", F.substr(s, before(i) + 1, F.lit(1))).otherwise(c)), "")
-    upper = F.when(v == F.upper(v), F.upper(s))
-    return (F.when(kind == "email", upper.otherwise(s)).when(kind == "ip", s)
-            .when(kind.isin("given", "surname"), upper.otherwise(F.initcap(s))).otherwise(placed))
+    side = lambda c, k: F.substring_index(c, "@", k)
+    mail = F.concat_ws("@", *[F.when(side(v, k) == F.upper(side(v, k)), F.upper(side(s, k))).otherwise(side(s, k)) for k in (1, -1)])
+    name = F.when((v == F.upper(v)) & (F.length(v) > 1), F.upper(s)).otherwise(F.initcap(s))
+    return F.when(kind == "email", mail).when(kind == "ip", s).when(kind.isin("given", "surname"), name).otherwise(placed)
 
 
 def replace_pii(docs: DataFrame, key: str = KEY, carry: Sequence[str] = ()) -> DataFrame:
