@@ -193,7 +193,7 @@ register("insert_students", f"""
 with b as (select c_name as name, cast(null as varchar) as tax_id, cast(null as varchar) as email,
                   cast(null as date) as born_on, date '{RUN_DATE}' as enrolled_on,
                   coalesce(case when c_mktsegment = 'BUILDING' then null else c_mktsegment end, 'Apto') as health_note
-           from customer where coalesce(trim(c_name) <> '', false))
+           from customer where coalesce(regexp_matches(c_name, '[^[:space:]]'), false))
 select (select coalesce(max(id), 0) from person)
        + row_number() over (order by name, tax_id, email, born_on, enrolled_on, health_note) as id,
        name, tax_id, email, born_on, enrolled_on, health_note from b
@@ -207,7 +207,7 @@ select (select coalesce(max(id), 0) from person)
 register("insert_instructors", """
 with b as (select s_name as name, cast(null as varchar) as tax_id,
                   'i' || cast(s_suppkey as varchar) || '@example.org' as email, cast(null as date) as born_on
-           from supplier where coalesce(trim(s_name) <> '', false))
+           from supplier where coalesce(regexp_matches(s_name, '[^[:space:]]'), false))
 select (select coalesce(max(id), 0) from person) + row_number() over (order by name, tax_id, email, born_on) as id,
        name, tax_id, email, born_on from b
 """)(lambda t: changes.insert_people(t, "instructor", t.source("supplier").select(
@@ -217,7 +217,7 @@ select (select coalesce(max(id), 0) from person) + row_number() over (order by n
 
 register("insert_classes", """
 with b as (select name || ' II' as name, capacity - 1 as capacity, sport_id, schedule_id from class_group),
-ok as (select * from b where coalesce(trim(name) <> '', false) and coalesce(capacity >= 1, false)
+ok as (select * from b where coalesce(regexp_matches(name, '[^[:space:]]'), false) and coalesce(capacity >= 1, false)
        and exists (select 1 from sport s where s.id = b.sport_id)
        and exists (select 1 from schedule h where h.id = b.schedule_id))
 select (select coalesce(max(id), 0) from class_group)
@@ -230,7 +230,7 @@ select (select coalesce(max(id), 0) from class_group)
 register("insert_sports", """
 with b as (select distinct p_type as name, cast(null as varchar) as description, cast(null as boolean) as is_team
            from part),
-ok as (select * from b where coalesce(trim(name) <> '', false))
+ok as (select * from b where coalesce(regexp_matches(name, '[^[:space:]]'), false))
 select cast((select coalesce(max(id), 0) from sport) + row_number() over (order by name, description, is_team) as int)
        as id, name, description, is_team from ok
 """)(lambda t: changes.insert_sports(t, t.source("part").select(
@@ -354,7 +354,7 @@ def _refs_oracle() -> str:
 
 def _domains_oracle() -> str:
     parts = [f"select 'blank_name' as rule, '{n}' as table_name, 'name' as column_name, "
-             f"count(case when not coalesce(trim(name) <> '', false) then 1 end) as n_bad from {n}"
+             f"count(case when not coalesce(regexp_matches(name, '[^[:space:]]'), false) then 1 end) as n_bad from {n}"
              for n in quality.NAMED_FORMS]
     parts.append("select 'capacity_below_1', 'class_group', 'capacity', count(case when capacity < 1 then 1 end) "
                  "from class_group")
