@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+# The five status names and the days of the billing periods are fixed values, as in sources/adapter.py.
 VIEW_SQL = {
     "phone": "select c_custkey as id, concat('27', lpad(cast(c_custkey as string), 9, '0')) as phone from customer",
     "address": "select n_nationkey as id, n_name as street, r_name as district, n_name as city, "

@@ -139,13 +139,13 @@ register("lookup_class", _requested("from class_group select id, name, capacity,
 register("lookup_sport", _requested("from sport select id, name, description, is_team", "sport_id", "class_group"))(
     lambda t: rosters.lookup_sport(t, t.get("class_group", "sport_id")))
 
-# A single record by a bound id: the one the rules of the data make largest.
+# A single record by a bound id.
 for _kind, _rows in (("student", _people_sql("student", ["id", "name", "tax_id", "email", "born_on"], ["enrolled_on", "health_note"])),
                      ("instructor", "from person select id, name, tax_id, email, born_on"),
                      ("class_group", "from class_group select id, name, capacity, sport_id, schedule_id"),
                      ("sport", "from sport select id, name, description, is_team")):
-    register(f"lookup_one_{_kind}", f"with records as ({_rows}) from records where id = 4")(
-        lambda t, _kind=_kind: rosters.lookup_one(t, _kind, 4))
+    register(f"lookup_one_{_kind}", f"with records as ({_rows}) from records where id = 12")(
+        lambda t, _kind=_kind: rosters.lookup_one(t, _kind, 12))
 
 # ---------------------------------------------------------------- links
 

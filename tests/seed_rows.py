@@ -46,7 +46,9 @@ SEED = {
                  (5, "Noite - 19:00")],
     "class_group": [(1, "Nat-Infantil-M", 15, 1, 1), (2, "Fut-Sub15-T", 22, 4, 2), (3, "Vol-Adulto-N", 14, 5, 3),
                     (4, "Bas-Iniciante-M", 20, 2, 4), (5, "Jud-Avancado-T", 10, 3, 5)],
-    "enrollment": [{"student_id": s, "class_id": c} for s, c in [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (1, 2), (2, 3)]],
+    "enrollment": [{"student_id": 1, "class_id": 1}, {"student_id": 2, "class_id": 2}, {"student_id": 3, "class_id": 3},
+                   {"student_id": 4, "class_id": 4}, {"student_id": 5, "class_id": 5}, {"student_id": 1, "class_id": 2},
+                   {"student_id": 2, "class_id": 3}],
     "teaches": [(6, 1), (7, 2), (8, 3), (9, 4), (10, 5)],
     "plan": [(1, "Plano Basico Mensal", Decimal("100.00"), 1, "Acesso a 1 esporte"),
              (2, "Plano Trimestral", Decimal("270.00"), 3, "Acesso a 1 esporte com desconto"),
@@ -60,11 +62,15 @@ SEED = {
                 (5, Decimal("900.00"), D("2023-01-10"), D("2023-01-05"), 1, "Cartao de Credito")],
     "time_slot": [(1, "07:00:00", "08:00:00"), (2, "08:00:00", "09:00:00"), (3, "10:00:00", "11:00:00"),
                   (4, "18:00:00", "19:00:00"), (5, "19:00:00", "20:00:00")],
-    "schedule_slot": [{"weekday": w, "slot_id": s, "schedule_id": h}
-                      for w, s, h in [(2, 1, 1), (3, 2, 1), (4, 3, 2), (5, 4, 3), (6, 5, 4)]],
-    "session": [{"held_on": D(f"2025-05-0{i}"), "was_held": h, "class_id": i}
-                for i, h in zip(range(1, 6), [True, True, False, True, True], strict=True)],
-    "attendance": [{"present": p} for p in [True, False, True, True, False]],
+    "schedule_slot": [{"weekday": 2, "slot_id": 1, "schedule_id": 1}, {"weekday": 3, "slot_id": 2, "schedule_id": 1},
+                      {"weekday": 4, "slot_id": 3, "schedule_id": 2}, {"weekday": 5, "slot_id": 4, "schedule_id": 3},
+                      {"weekday": 6, "slot_id": 5, "schedule_id": 4}],
+    "session": [{"held_on": D("2025-05-01"), "was_held": True, "class_id": 1},
+                {"held_on": D("2025-05-02"), "was_held": True, "class_id": 2},
+                {"held_on": D("2025-05-03"), "was_held": False, "class_id": 3},
+                {"held_on": D("2025-05-04"), "was_held": True, "class_id": 4},
+                {"held_on": D("2025-05-05"), "was_held": True, "class_id": 5}],
+    "attendance": [{"present": True}, {"present": False}, {"present": True}, {"present": True}, {"present": False}],
     "student_plan": [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)],
     "guardianship": [(1, 6), (2, 7), (3, 8), (4, 9), (5, 10)],
     "cancellation": [(1, "Professor nao compareceu"), (2, "Dedetizacao"), (3, "Reforma no CT"), (4, "Muita chuva"),
