@@ -1,7 +1,7 @@
 """Insert (W1, W10) and update-by-key (W3) jobs over change batches.
 
 An insert batch carries the fields of new entities without ids. Rows failing the form rules of the
-reference (blank name, capacity below 1, unknown sport or schedule) go to ``rejected`` with a reason; the
+reference (blank name, dates out of range, capacity below 1, unknown sport or schedule) go to ``rejected`` with a reason; the
 rest get dense ids after the current maximum and are appended. A person and its role row come from the
 same numbered batch, so a person can never be left without its role.
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from roster import schema
 from roster.functions import text
 from roster.operators.ids import allocate_ids
+from roster.operators.quality import DATE_MAX, DATE_MIN
 from roster.sources.tables import Tables
 
 PERSON_INPUT = ("name", "tax_id", "email", "born_on")
@@ -64,7 +65,12 @@ def insert_people(t: Tables, role: str, batch: DataFrame, run_date: dt.date | st
     role_schema = schema.table(role).schema
     typed = batch.select(*[F.col(c).cast(schema.table("person").schema[c].dataType if c in PERSON_INPUT
                                          else role_schema[c].dataType).alias(c) for c in cols])
-    good, rejected = _split(typed, F.when(~text.non_blank("name"), F.lit("blank_name")))
+    reason = F.when(~text.non_blank("name"), F.lit("blank_name"))
+    for c in ("born_on", "enrolled_on"):
+        if c in cols:
+            reason = reason.when(F.col(c) < F.lit(DATE_MIN).cast("date"), f"{c}_out_of_range") \
+                           .when(F.col(c) > F.lit(DATE_MAX).cast("date"), f"{c}_out_of_range")
+    good, rejected = _split(typed, reason)
     numbered = allocate_ids(t.max_id("person"), good, list(cols))
     person_rows = numbered.select("id", *PERSON_INPUT, F.lit(None).cast("bigint").alias("phone_id"),
                                   F.lit(None).cast("int").alias("address_id"))

@@ -5,7 +5,7 @@ Each check is one aggregate (``rule, table_name, column_name, n_bad``), all unio
 * ``pk_duplicate``: key values held by more than one row (grouped count, partial aggregation);
   ``pk_null``: rows with a NULL key column;
 * ``fk_orphan``: child rows whose non-NULL reference has no parent row (anti join on the parent key);
-* ``blank_name``, ``capacity_below_1``, ``date_out_of_range`` (1900-01-01 to 2100-12-31, the form bounds)
+* ``blank_name``, ``capacity_below_1`` (or NULL), ``missing_parent`` (a class without sport or schedule), ``date_out_of_range`` (1900-01-01 to 2100-12-31, the form bounds)
   and ``too_long`` (declared text widths).
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roster import schema
@@ -25,6 +25,8 @@ DATE_MIN = "1900-01-01"
 DATE_MAX = "2100-12-31"
 DATE_COLUMNS = (("person", "born_on"), ("student", "enrolled_on"))
 NAMED_FORMS = ("person", "class_group", "sport")
+# A class can't be saved without these.
+REQUIRED_PARENTS = ("sport_id", "schedule_id")
 
 
 def _row(rule: str, table: str, column: str | None, counted: DataFrame) -> DataFrame:
@@ -32,10 +34,6 @@ def _row(rule: str, table: str, column: str | None, counted: DataFrame) -> DataF
                           F.lit(column).cast("string").alias("column_name"), F.col("n_bad").cast("bigint"))
 
 
-def _count_where(df: DataFrame, cond) -> DataFrame:
-    return df.agg(F.count(F.when(cond, F.lit(1))).alias("n_bad"))
-
-
 def check_keys(t: Tables) -> DataFrame:
     parts = []
     for name in t.names():
@@ -63,28 +61,35 @@ def check_references(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def domain_rules(name: str) -> dict[tuple[str, str], Column]:
+    """(rule, column) -> the condition of a bad row, for one table."""
+    rules: dict[tuple[str, str], Column] = {}
+    if name in NAMED_FORMS:
+        rules["blank_name", "name"] = ~text.non_blank("name")
+    if name == "class_group":
+        rules["capacity_below_1", "capacity"] = ~F.coalesce(F.col("capacity") >= 1, F.lit(False))
+        for c in REQUIRED_PARENTS:
+            rules["missing_parent", c] = F.col(c).isNull()
+    for table, c in DATE_COLUMNS:
+        if table == name:
+            rules["date_out_of_range", c] = ~F.col(c).between(F.lit(DATE_MIN).cast("date"), F.lit(DATE_MAX).cast("date"))
+    for c, width in schema.table(name).max_lengths.items():
+        rules["too_long", c] = F.length(c) > width
+    return rules
+
+
 def check_domains(t: Tables) -> DataFrame:
+    """All rules of a table in one pass: one aggregate with a count a rule, unpivoted to rows."""
     parts = []
-    for name in NAMED_FORMS:
-        if name in t:
-            parts.append(_row("blank_name", name, "name",
-                              _count_where(t.get(name, "name"), ~text.non_blank("name"))))
-    if "class_group" in t:
-        parts.append(_row("capacity_below_1", "class_group", "capacity",
-                          _count_where(t.get("class_group", "capacity"), F.col("capacity") < 1)))
-    for name, col in DATE_COLUMNS:
-        if name in t:
-            c = F.col(col)
-            out = (c < F.lit(DATE_MIN).cast("date")) | (c > F.lit(DATE_MAX).cast("date"))
-            parts.append(_row("date_out_of_range", name, col, _count_where(t.get(name, col), out)))
     for name in t.names():
-        widths = schema.table(name).max_lengths
-        if not widths:
+        rules = domain_rules(name)
+        if not rules:
             continue
-        df = t.get(name, *widths)
-        counted = df.agg(*[F.count(F.when(F.length(c) > n, F.lit(1))).alias(c) for c, n in widths.items()])
-        for c in widths:
-            parts.append(_row("too_long", name, c, counted.select(F.col(c).alias("n_bad"))))
+        counted = t.get(name, *dict.fromkeys(c for _, c in rules)).agg(
+            *[F.count(F.when(bad, F.lit(1))).alias(f"{rule}:{c}") for (rule, c), bad in rules.items()])
+        rows = counted.unpivot([], [f"{rule}:{c}" for rule, c in rules], "what", "n_bad")
+        parts.append(rows.select(F.split_part("what", F.lit(":"), F.lit(1)).alias("rule"), F.lit(name).alias("table_name"),
+                                 F.split_part("what", F.lit(":"), F.lit(2)).alias("column_name"), F.col("n_bad").cast("bigint")))
     return reduce(DataFrame.unionByName, parts)
 
 

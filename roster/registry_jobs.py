@@ -356,8 +356,9 @@ def _domains_oracle() -> str:
     parts = [f"select 'blank_name' as rule, '{n}' as table_name, 'name' as column_name, "
              f"count(case when not coalesce(regexp_matches(name, '[^[:space:]]'), false) then 1 end) as n_bad from {n}"
              for n in quality.NAMED_FORMS]
-    parts.append("select 'capacity_below_1', 'class_group', 'capacity', count(case when capacity < 1 then 1 end) "
-                 "from class_group")
+    parts.append("select 'capacity_below_1', 'class_group', 'capacity', count(*) from class_group where capacity is null or capacity < 1")
+    parts += [f"select 'missing_parent', 'class_group', '{c}', count(*) from class_group where {c} is null"
+              for c in ("sport_id", "schedule_id")]
     for n, c in quality.DATE_COLUMNS:
         parts.append(f"select 'date_out_of_range', '{n}', '{c}', count(case when {c} < date '{quality.DATE_MIN}' "
                      f"or {c} > date '{quality.DATE_MAX}' then 1 end) from {n}")

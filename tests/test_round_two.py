@@ -87,3 +87,33 @@ def test_jdbc_reads_of_all_tables_can_be_split():
 def test_foreign_keys_are_pinned():
     edges = {(fk.child, fk.column, fk.parent) for fk in schema.FOREIGN_KEYS}
     assert len(edges) == len(schema.FOREIGN_KEYS) == 22
+
+
+def test_dates_out_of_range_are_rejected(spark, seed):
+    batch = spark.sql("""SELECT * FROM VALUES ('a', date '1899-12-31', date '2024-01-01'), ('b', date '2000-01-01', date '2101-01-01'),
+        ('c', date '2000-01-01', null), (' ', null, null) AS v(name, born_on, enrolled_on)""").selectExpr(
+        "name", "'' AS tax_id", "'' AS email", "born_on", "enrolled_on", "null AS health_note")
+    res = changes.insert_people(seed, "student", batch, run_date="2024-03-01")
+    assert [r.name for r in res.inserted.collect()] == ["c"]
+    assert {r.name: r.reason for r in res.rejected.collect()} == {
+        "a": "born_on_out_of_range", "b": "enrolled_on_out_of_range", " ": "blank_name"}
+
+
+def test_classes_without_seats_or_parents_are_reported(spark, seed):
+    from roster.operators.quality import check_domains
+    bad = spark.createDataFrame([(90, "x", None, None, 1), (91, "y", 0, 1, None)], seed.get("class_group").schema)
+    t = seed.replace(class_group=seed.get("class_group").unionByName(bad))
+    found = {(r.rule, r.column_name): r.n_bad for r in check_domains(t).collect() if r.table_name == "class_group"}
+    assert found["capacity_below_1", "capacity"] == 2
+    assert found["missing_parent", "schedule_id"] == found["missing_parent", "sport_id"] == 1
+
+
+def test_domain_check_reads_each_table_once(star001):
+    from roster.operators.quality import check_domains
+    plan = check_domains(star001)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [c_custkey") <= 4      # phone, person (customers), student, and the like: no scan a rule
+
+
+def test_class_lists_do_not_read_the_schedule(star001):
+    plan = star001.get("class_group", "id", "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
