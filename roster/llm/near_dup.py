@@ -96,11 +96,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The lower half of the smallest of the upper 32 bits of every coordinate's scrambled shingles."""
-    low = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint64)
+    """The lower 32 bits of every coordinate's smallest scrambled shingle (the upper ones of a minimum tell little)."""
+    low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(s), 4096):
-        low = np.minimum(low, ((s[None, at:at + 4096] * _SALT[:, None]) >> np.uint64(32)).min(axis=1))
-    return (low & np.uint64(0xFFFF)).astype(np.uint16)
+        low = np.minimum(low, (s[None, at:at + 4096] * _SALT[:, None]).min(axis=1))
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def choices(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
 
 
 def _rooted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
