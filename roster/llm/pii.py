@@ -38,8 +38,11 @@ TITLES = {
 }
 _TITLE = "(?:" + "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True)) + r")\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Where the last label isn't the end of a domain (a dot that ends the sentence), labels are given back. Only so many, the
+#: most a domain name can have, as the JVM's expressions recurse for each label they may give back.
+_LABEL, _LAST = r"(?:[A-Za-z0-9-]++\.)", r"[A-Za-z]{2,}(?![A-Za-z0-9])"
 PATTERN = "|".join([
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:{_LABEL}++{_LAST}|{_LABEL}{{1,127}}{_LAST})",
     rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",

@@ -217,6 +217,17 @@ def test_surrogates(spark, empty):
     assert pii.replace_pii(empty).count() == 0
 
 
+def test_addresses_before_dots_are_found(spark):
+    ends = [". Then more", "...", ".) and", ".", "", ".5 more", ", more", ". x@y.org"]
+    rows = [(i, f"write to a.b@mail.example.com{end}") for i, end in enumerate(ends)]
+    rows.append((99, "x@" + "a." * 100_000 + "com and x@" + "a." * 100_000))
+    got = {r["doc_id"]: r for r in collected(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")))}
+    for i, end in enumerate(ends):
+        assert got[i]["n_email"] == 1 + end.count("@")
+        assert re.match(r"write to (?!a\.b@mail)\S+@\w+\.example\.com" + re.escape(end.split("x@")[0]), got[i]["text"])
+    assert got[99]["n_email"] == 1
+
+
 def test_surrogates_are_distinct_in_a_narrow_format(spark):
     """600 addresses of the shape x@yy.zz have many collisions; all surrogates differ from each other and the entities."""
     real = [f"{a}@{b}{c}.de" for a in "abcdefgh" for b in "abcdefghij" for c in "abcdefgh"][:600]
