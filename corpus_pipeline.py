@@ -18,6 +18,8 @@ from roster.llm.shared import pin, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least posterior of the predicted language.
 LEAST_SCORE = 0.5
+#: Least similarity of near-duplicates, in percent of their five-word shingles (op8's contract has 85).
+NEAR_PERCENT = 80
 
 
 def _as_documents(df: DataFrame) -> DataFrame:
@@ -40,8 +42,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates stays, the one with the smallest doc_id."""
-    return _as_documents(near_dup.one_of_each(docs, carry=["lang", "source"]))
+    """One document of every group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, the one with
+    the smallest doc_id."""
+    return _as_documents(near_dup.one_of_each(docs, percent=NEAR_PERCENT, carry=["lang", "source"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

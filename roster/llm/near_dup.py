@@ -12,8 +12,12 @@ sends each member to the child named by its value there. Similar documents follo
   this ends the recursion in dense groups, of whatever size, without comparing all their pairs.
 * A node that is still large after ``LEVELS`` levels is compared completely, block by block.
 
-A link of similarity 0.85 survives any depth of one tree with probability 0.76, so ``TREES`` independent trees miss
-it with 4e-8; signatures reject it with about 1e-7. Every link is confirmed on full sets. Only (node, row) numbers are
+The threshold gives the number of trees, how often nodes choose a second coordinate, and the least number of equal
+coordinates (``tuning``; at 85 percent 12, 0.5 and 39, at 80 percent 14, 0.59 and 34). Signatures reject a link at the
+threshold with 6e-7 at 85 and 3e-7 at 80 percent. In nodes of level 0 trees miss it with less than 1e-10. Deeper
+down the trees' misses are not independent, as all draw from one signature: averaged over how many of its values agree,
+1.9e-6 at 5 levels, 1.3e-5 at 8, 4.4e-5 at 12 and 1.2e-4 at 20 for 85 percent (2.5e-6, 2.2e-5, 8.8e-5 and 3.0e-4 for 80),
+unless other members join the two. Every link is confirmed on full sets. Only (node, row) numbers are
 shuffled for the trees; signatures and sets join in for rows that meet others. Texts move once, for those sets.
 
 Defined cases: null, empty or white texts have no shingles and stay alone; shorter texts than five words are one
@@ -24,7 +28,10 @@ doc_id of the component, null only if all are null; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +44,8 @@ from roster.llm.shared import pin, slices
 WORDS = 5
 PERCENT = 85
 COORDINATES = 64
-TREES = 12
-SECOND = 0.5            # how often a node chooses a second coordinate
-ESTIMATE = 0.6          # least share of equal coordinates for a closer look
+MISS = 4e-8             # of all trees together, at any depth, were they independent
+REJECTED = 1e-6         # most links at the threshold that signatures may reject
 SMALL = 2500            # members of a node that is compared exhaustively,
 WEIGHT = 2_000_000      # and their shingles
 LEVELS = 20
@@ -49,6 +55,33 @@ _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLOCK = 1 << 20
 
 
+@dataclass(frozen=True)
+class Tuning:
+    trees: int
+    second: float       # how often a node chooses a second coordinate
+    equal: int          # least number of equal coordinates for a closer look
+
+
+@lru_cache
+def tuning(percent: int) -> Tuning:
+    """What a threshold asks for. A node has 1.275/threshold children on average, two at most; a link at the threshold is
+    lost in a tree with the least root of q = u (1 - second + second u), u = 1 - threshold (1 - q)."""
+    if not 50 < percent <= 100:
+        raise ValueError(f"a threshold of {percent} percent: links of 50 or less die out in trees of two choices a node")
+    s, second = percent / 100, min(1.0, 127.5 / percent - 1)
+    q = 0.0
+    for _ in range(10_000):
+        u = 1 - s * (1 - q)
+        q = u * (1 - second + second * u)
+    equal, below = 0, 0.0
+    while equal < COORDINATES:
+        below += math.comb(COORDINATES, equal) * s ** equal * (1 - s) ** (COORDINATES - equal)
+        if below > REJECTED:
+            break
+        equal += 1
+    return Tuning(math.ceil(math.log(MISS) / math.log(q)) if q else 1, second, equal)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -103,17 +136,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def choices(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def choices(nodes: np.ndarray, often: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each node's first coordinate, its second, and whether it uses the second."""
     h = mix(nodes ^ _M2)
     first = (h % np.uint64(COORDINATES)).astype(np.int64)
     second = (first + 1 + ((h >> np.uint64(16)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    return first, second, (h >> np.uint64(40)).astype(np.float64) / (1 << 24) < SECOND
+    return first, second, (h >> np.uint64(40)).astype(np.float64) / (1 << 24) < often
 
 
-def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def children(nodes: np.ndarray, sigs: np.ndarray, often: float) -> tuple[np.ndarray, np.ndarray]:
     """The children of (node, signature) rows, and the row of each."""
-    first, second, twice = choices(nodes)
+    first, second, twice = choices(nodes, often)
     rows = np.arange(len(nodes))
     made, of = [], []
     for coordinate, own in ((first, rows), (second, rows[twice])):
@@ -127,31 +160,31 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
 
 
-def _rooted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
+def _rooted(batches: Iterable[pa.RecordBatch], tuned: Tuning) -> Iterator[pa.RecordBatch]:
+    roots = mix(np.arange(1, tuned.trees + 1, dtype=np.uint64))
     for batch in batches:
         if batch.num_rows:
             rid, size, sigs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sigs(batch.column(2))
             for root in roots:
-                nodes, of = children(np.full(len(rid), root), sigs)
+                nodes, of = children(np.full(len(rid), root), sigs, tuned.second)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rid[of]), pa.array(size[of])],
                                                  names=["node", "rid", "size"])
 
 
-def _branched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _branched(batches: Iterable[pa.RecordBatch], tuned: Tuning) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             node, rid, size = (batch.column(i).to_numpy() for i in range(3))
-            nodes, of = children(node.view(np.uint64), _sigs(batch.column(3)))
+            nodes, of = children(node.view(np.uint64), _sigs(batch.column(3)), tuned.second)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(rid[of]), pa.array(size[of])],
                                              names=["node", "rid", "size"])
 
 
-def _like_head(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _like_head(batches: Iterable[pa.RecordBatch], tuned: Tuning) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             equal = (_sigs(batch.column(2)) == _sigs(batch.column(3))).sum(axis=1)
-            close = pa.array(equal >= ESTIMATE * COORDINATES)
+            close = pa.array(equal >= tuned.equal)
             yield batch.select([0, 1]).filter(close)
 
 
@@ -167,7 +200,7 @@ def _groups(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _close(table: pa.Table) -> pa.Table:
+def _close(table: pa.Table, tuned: Tuning) -> pa.Table:
     """The groups of a node whose signatures may be similar enough: (cluster, rid), named by their members."""
     rid, label = table.column("rid").to_numpy(), table.column("label").to_numpy()
     sigs = _sigs(table.column("sig").combine_chunks() if table.num_rows else table.column("sig"))
@@ -175,7 +208,7 @@ def _close(table: pa.Table) -> pa.Table:
     rid, label, sigs = rid[order], label[order], sigs[order]
     near = np.zeros((len(rid), len(rid)), dtype=bool)
     for i in range(len(rid)):
-        near[i] = (sigs[i] == sigs).sum(axis=1) >= ESTIMATE * COORDINATES
+        near[i] = (sigs[i] == sigs).sum(axis=1) >= tuned.equal
     group = _groups(near)
     names, rows = [], []
     for g in np.unique(group):
@@ -286,8 +319,10 @@ def _work(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): confirmed links that join all similar representatives of ``rows`` (rid, doc_id, version, n_shingles,
     sig)."""
+    tuned = tuning(percent)
     sigs, sizes = rows.select("rid", "sig"), rows.select("rid", "n_shingles")
-    nodes = rows.select("rid", F.col("n_shingles").alias("size"), "sig").mapInArrow(_rooted, "node long, rid long, size long")
+    nodes = rows.select("rid", F.col("n_shingles").alias("size"), "sig").mapInArrow(
+        lambda b: _rooted(b, tuned), "node long, rid long, size long")
     sets = labels = found = None
     for level in range(LEVELS + 1):
         if labels is None:
@@ -304,13 +339,13 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
             sigs = pin(sigs.join(nodes.select("rid").distinct(), "rid", "left_semi"), "node-sketches")
         with_sigs = nodes.join(sigs, "rid")
         clusters = (with_sigs.filter("parts = 1").select("node", "rid", "label", "sig")
-                    .groupBy("node").applyInArrow(_close, "cluster long, rid long"))
+                    .groupBy("node").applyInArrow(lambda t: _close(t, tuned), "cluster long, rid long"))
         large = with_sigs.filter("parts > 1")
         more = not nodes.filter("parts > 1").isEmpty()
         if more and level < LEVELS:
             heads = nodes.filter("rid = head").join(sigs, "rid").select("node", F.col("sig").alias("head_sig"))
             star = (large.filter("rid <> head").join(heads, "node").select("head", "rid", "sig", "head_sig")
-                    .mapInArrow(_like_head, "head long, rid long").distinct())
+                    .mapInArrow(lambda b: _like_head(b, tuned), "head long, rid long").distinct())
             pair = star.select(F.xxhash64("head", "rid").alias("cluster"), F.explode(F.array("head", "rid")).alias("rid"))
             clusters = clusters.unionByName(pair)
         elif more:
@@ -330,7 +365,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
         if not more:
             break
         labels = components(found)
-        nodes = large.select("node", "rid", "size", "sig").mapInArrow(_branched, "node long, rid long, size long")
+        nodes = large.select("node", "rid", "size", "sig").mapInArrow(lambda b: _branched(b, tuned), "node long, rid long, size long")
     return found
 
 

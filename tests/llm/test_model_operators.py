@@ -26,7 +26,7 @@ def shingle_set(text: str | None) -> frozenset:
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_components(rows: list[dict]) -> list[int]:
+def brute_components(rows: list[dict], percent: int = 85) -> list[int]:
     sets, label = [shingle_set(r["text"]) for r in rows], list(range(len(rows)))
 
     def find(i: int) -> int:
@@ -36,7 +36,7 @@ def brute_components(rows: list[dict]) -> list[int]:
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 label[find(i)] = find(j)
     return [find(i) for i in range(len(rows))]
 
@@ -268,3 +268,31 @@ def test_pipeline_stages(spark, odd, clashing, empty):
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, SF001).count() == 0
         assert stage(spark, clashing, SF001).count() >= 0
+
+
+def test_pipeline_takes_near_duplicates_from_80_percent(spark):
+    import corpus_pipeline as pipeline
+
+    rng, rows = random.Random(17), []
+    for i in range(60):         # a text, and one with 1 to 3 of its 60 words replaced: similarity 0.6 to 0.98
+        text = words(rng, 60)
+        near = list(text)
+        for k in rng.sample(range(60), 1 + i % 3):
+            near[k] = words(rng, 1)[0] + "x"
+        rows += [{"doc_id": 2 * i, "text": " ".join(text)}, {"doc_id": 2 * i + 1, "text": " ".join(near)}]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], "en", "s", 0) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = [len(set(brute_components(rows, p))) for p in (85, 80, 60)]
+    assert sizes[0] > sizes[1] > sizes[2]
+    assert pipeline.near_duplicates(spark, docs, SF001).count() == sizes[1]
+    assert near_dup.one_of_each(docs, percent=60).count() == sizes[2]
+
+
+def test_tuning_follows_the_threshold():
+    assert near_dup.tuning(85) == near_dup.Tuning(12, 0.5, 39)
+    for percent in (55, 60, 70, 80, 90):
+        t, s, n = near_dup.tuning(percent), percent / 100, near_dup.COORDINATES
+        assert (1 + t.second) * s > 1
+        assert sum(math.comb(n, k) * s ** k * (1 - s) ** (n - k) for k in range(t.equal)) <= 1e-6
+    with pytest.raises(ValueError):
+        near_dup.tuning(50)
