@@ -53,9 +53,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),       # runs of [0-9a-f]+ of 24 or more
 )
+# A private key goes to its END line; one that another BEGIN or a further END cuts short, or the end of the text, goes to
+# the end of its base64: tokens that are long, padded, or end their line, after header fields, with whatever sets lines
+# apart in mails, program text and JSON (there also "\n" and "\/" as two characters each) in between.
+_BETWEEN = r"""(?:\s|\\+[nrt/]|["'`,;>#*|+]|//|<br\ ?/?>)*+"""
+_FIELD = r"Proc-Type: ?\d,[A-Z-]++|DEK-Info: ?[A-Z0-9-]++,[0-9A-Fa-f]++"
+_BASE64 = r"""[A-Za-z0-9+/]++(?:={1,2}|(?<=[A-Za-z0-9+/]{20})|(?=[ \t]*+(?:["'`<\r\n]|\\+[nr/]|\Z)))"""
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+
 #: Further kinds.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|(?:{_BETWEEN}(?:{_FIELD}|{_BASE64}))*+)", 0, 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
