@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roster.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, pii, quality, secret_scan, toxicity
+from roster.llm import (
+    bpe, conversations, exact_dedup, langid, line_dedup, near_dup, packing, phrases, pii, quality, secret_scan, toxicity, whitening)
+from roster.llm.oracles import ORACLES
 from roster.llm.shared import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -80,29 +84,28 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing, op8_near_dedup,
-                                                 op9_exact_dedup, op10_pii_surrogates)}
-
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
-ORACLES: dict[str, str] = {
-    "op1_line_dedup": f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
-keyed AS (SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_SPACES})")} AS k FROM lines),
-repeated AS (
-  SELECT k, max(doc_id) AS keep_id FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-flagged AS (
-  SELECT keyed.*, coalesce(doc_id <> keep_id, false) AS gone FROM keyed LEFT JOIN repeated USING (k))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM flagged GROUP BY doc_id""",
-    "op9_exact_dedup": f"""
-WITH norm AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-FROM norm WINDOW w AS (PARTITION BY t)""",
-}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.fixed_point(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(x)
+    shares = F.array(*[F.lit(e) for e in model.explained()]).cast("array<double>")
+    rows = whitening.whiten(x, model).select("id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    # Beyond 64 bits only the exact decimal column holds the deviation.
+    return rows.select(F.col("id").alias("vec_id"), (F.col("i") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"),
+                       F.col("deviation").try_cast("long").alias("deviation"), F.col("deviation").alias("deviation_exact"), "whitened",
+                       F.get(shares, F.col("i")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(given), every=given)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_line_dedup, op2_toxicity, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_language_id, op7_packing, op8_near_dedup,
+    op9_exact_dedup, op10_pii_surrogates, op11_embedding_whitening, op12_conversation_repair, op13_decontamination)}
