@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roster.operators.changelog import apply_changes
+from roster.sources import files
 
 
 def version_path(state_dir: str, batch_id: int) -> str:
@@ -63,16 +64,14 @@ def latest_state(spark: SparkSession, state_dir: str, query: StreamingQuery, sta
     progress = query.lastProgress
     if not progress:
         return None
-    last = int(progress["batchId"])
     # The final progress report may belong to a batch that found no new files and wrote nothing.
-    for batch_id in (last, last - 1):
-        if batch_id >= 0:
-            state = read_version(spark, state_dir, batch_id, state_schema)
-            if state is not None:
-                if op_col is None:
-                    return state
-                return state.filter(~F.coalesce(F.col(op_col).isin(*delete_ops), F.lit(False)))
-    return None
+    written = [int(n.removeprefix("v=")) for n in files.names(spark, state_dir)
+               if n.startswith("v=") and files.complete(spark, f"{state_dir.rstrip('/')}/{n}")]
+    written = [v for v in written if v <= int(progress["batchId"])]
+    if not written:
+        return None
+    state = read_version(spark, state_dir, max(written), state_schema)
+    return state if op_col is None else state.filter(~F.coalesce(F.col(op_col).isin(*delete_ops), F.lit(False)))
 
 
 def start_latest_per_key_stream(spark: SparkSession, source_dir: str, source_schema: T.StructType | str,
