@@ -5,8 +5,8 @@ reference (blank name, dates out of range, capacity below 1, unknown sport or sc
 rest get dense ids after the current maximum and are appended. A person and its role row come from the
 same numbered batch, so a person can never be left without its role.
 
-Updates overwrite every listed column for the keys present in the change set (a key with no row is a
-no-op), through a left join on the table key.
+Edits follow the same form rules: rows that break one go to ``rejected`` with the reason. The others overwrite every listed
+column for the keys present in the change set (a key with no row is a no-op), through a left join on the table key.
 """
 
 from __future__ import annotations
@@ -47,6 +47,29 @@ def _split(batch: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("reason").isNotNull()))
 
 
+def _person_reason(cols) -> Column:
+    """Why the form of a person refuses a row; NULL if it doesn't."""
+    reason = F.when(~text.non_blank("name"), F.lit("blank_name"))
+    for c in ("born_on", "enrolled_on"):
+        if c in cols:
+            reason = reason.when(~F.col(c).cast("date").between(F.lit(DATE_MIN).cast("date"), F.lit(DATE_MAX).cast("date")),
+                                 f"{c}_out_of_range")
+    return reason
+
+
+def _class_split(t: Tables, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Class rows that the form takes, and the others with a reason."""
+    sport = t.get("sport", "id").select(F.col("id").alias("sport_id")).withColumn("__sport", F.lit(True))
+    sched = t.get("schedule", "id").select(F.col("id").alias("schedule_id")).withColumn("__sched", F.lit(True))
+    checked = rows.join(sport, "sport_id", "left").join(sched, "schedule_id", "left")
+    reason = (F.when(~text.non_blank("name"), "blank_name")
+              .when(F.coalesce(F.col("capacity") < 1, F.lit(True)), "capacity_below_1")
+              .when(F.col("__sport").isNull(), "unknown_sport")
+              .when(F.col("__sched").isNull(), "unknown_schedule"))
+    good, rejected = _split(checked, reason)
+    return good.select(*rows.columns), rejected.select(*rows.columns, "reason")
+
+
 def insert_people(t: Tables, role: str, batch: DataFrame, run_date: dt.date | str | None = None) -> InsertResult:
     """New people with a role (``student`` or ``instructor``). Student defaults: health note 'Apto' and
     the enrolment date of the run (a job argument rather than the clock, so reruns agree)."""
@@ -65,12 +88,7 @@ def insert_people(t: Tables, role: str, batch: DataFrame, run_date: dt.date | st
     role_schema = schema.table(role).schema
     typed = batch.select(*[F.col(c).cast(schema.table("person").schema[c].dataType if c in PERSON_INPUT
                                          else role_schema[c].dataType).alias(c) for c in cols])
-    reason = F.when(~text.non_blank("name"), F.lit("blank_name"))
-    for c in ("born_on", "enrolled_on"):
-        if c in cols:
-            reason = reason.when(F.col(c) < F.lit(DATE_MIN).cast("date"), f"{c}_out_of_range") \
-                           .when(F.col(c) > F.lit(DATE_MAX).cast("date"), f"{c}_out_of_range")
-    good, rejected = _split(typed, reason)
+    good, rejected = _split(typed, _person_reason(cols))
     numbered = allocate_ids(t.max_id("person"), good, list(cols))
     person_rows = numbered.select("id", *PERSON_INPUT, F.lit(None).cast("bigint").alias("phone_id"),
                                   F.lit(None).cast("int").alias("address_id"))
@@ -83,19 +101,10 @@ def insert_people(t: Tables, role: str, batch: DataFrame, run_date: dt.date | st
 
 def insert_classes(t: Tables, batch: DataFrame) -> InsertResult:
     """New classes; a class needs a name, at least one seat, and an existing sport and schedule."""
-    typed = _cast_to(batch, "class_group", CLASS_INPUT)
-    sport = t.get("sport", "id").select(F.col("id").alias("sport_id")).withColumn("__sport", F.lit(True))
-    sched = t.get("schedule", "id").select(F.col("id").alias("schedule_id")).withColumn("__sched", F.lit(True))
-    checked = typed.join(sport, "sport_id", "left").join(sched, "schedule_id", "left")
-    reason = (F.when(~text.non_blank("name"), "blank_name")
-              .when(F.coalesce(F.col("capacity") < 1, F.lit(True)), "capacity_below_1")
-              .when(F.col("__sport").isNull(), "unknown_sport")
-              .when(F.col("__sched").isNull(), "unknown_schedule"))
-    good, rejected = _split(checked.select(*CLASS_INPUT, "__sport", "__sched"), reason)
-    numbered = allocate_ids(t.max_id("class_group"), good.select(*CLASS_INPUT), list(CLASS_INPUT))
+    good, rejected = _class_split(t, _cast_to(batch, "class_group", CLASS_INPUT))
+    numbered = allocate_ids(t.max_id("class_group"), good, list(CLASS_INPUT))
     rows = numbered.select("id", *CLASS_INPUT)
-    return InsertResult(t.replace(class_group=t.get("class_group").unionByName(rows)), rows,
-                        rejected.select(*CLASS_INPUT, "reason"))
+    return InsertResult(t.replace(class_group=t.get("class_group").unionByName(rows)), rows, rejected)
 
 
 def insert_sports(t: Tables, batch: DataFrame) -> InsertResult:
@@ -118,20 +127,40 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str, columns: list[
     return j.select(*out)
 
 
-def update_people(t: Tables, role: str, changes: DataFrame) -> Tables:
-    """The edit forms: person fields, plus the student fields for ``role == 'student'``. Keys are person
-    ids (``id``)."""
-    person = update_by_key(t.get("person"), changes, "id", list(PERSON_INPUT))
-    frames = {"person": person}
+@dataclass
+class EditResult:
+    tables: Tables
+    rejected: DataFrame   # change rows with a reason
+
+
+def edit_people(t: Tables, role: str, changes: DataFrame) -> EditResult:
+    """The edit forms: person fields, plus the student fields for ``role == 'student'``. Keys are person ids (``id``)."""
+    fields = STUDENT_INPUT if role == "student" else PERSON_INPUT
+    good, rejected = _split(changes.select("id", *fields), _person_reason(fields))
+    frames = {"person": update_by_key(t.get("person"), good, "id", list(PERSON_INPUT))}
     if role == "student":
-        frames["student"] = update_by_key(t.get("student"), changes.withColumnRenamed("id", "person_id"),
+        frames["student"] = update_by_key(t.get("student"), good.drop("reason").withColumnRenamed("id", "person_id"),
                                           "person_id", ["enrolled_on", "health_note"])
-    return t.replace(**frames)
+    return EditResult(t.replace(**frames), rejected)
+
+
+def edit_classes(t: Tables, changes: DataFrame) -> EditResult:
+    good, rejected = _class_split(t, _cast_to(changes, "class_group", ["id", *CLASS_INPUT]))
+    return EditResult(t.replace(class_group=update_by_key(t.get("class_group"), good, "id", list(CLASS_INPUT))), rejected)
+
+
+def edit_sports(t: Tables, changes: DataFrame) -> EditResult:
+    good, rejected = _split(changes.select("id", *SPORT_INPUT), F.when(~text.non_blank("name"), F.lit("blank_name")))
+    return EditResult(t.replace(sport=update_by_key(t.get("sport"), good, "id", list(SPORT_INPUT))), rejected)
+
+
+def update_people(t: Tables, role: str, changes: DataFrame) -> Tables:
+    return edit_people(t, role, changes).tables
 
 
 def update_classes(t: Tables, changes: DataFrame) -> Tables:
-    return t.replace(class_group=update_by_key(t.get("class_group"), changes, "id", list(CLASS_INPUT)))
+    return edit_classes(t, changes).tables
 
 
 def update_sports(t: Tables, changes: DataFrame) -> Tables:
-    return t.replace(sport=update_by_key(t.get("sport"), changes, "id", list(SPORT_INPUT)))
+    return edit_sports(t, changes).tables

@@ -23,9 +23,10 @@ def table_counts(t: Tables, names: list[str] | None = None) -> DataFrame:
 
 
 def next_ids(t: Tables) -> DataFrame:
-    """(table_name, next_id) for every table with a single-column id: COALESCE(MAX(id), 0) + 1."""
+    """(table_name, next_id) for every table with a single-column id: COALESCE(MAX(id), 0) + 1, for AUTO_INCREMENT tables
+    counting ids of rows that were deleted since."""
     parts = [t.spark.range(1).select(F.lit(name).alias("table_name"),
-                                     (F.coalesce(t.max_id(name), F.lit(0)).cast("bigint") + 1).alias("next_id"))
+                                     (F.coalesce(t.high_water(name), F.lit(0)).cast("bigint") + 1).alias("next_id"))
              for name in t.names() if schema.table(name).primary_key == ("id",)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -31,3 +31,10 @@ def allocate_ids(existing: DataFrame | Column, batch: DataFrame, order: Sequence
     tied = batch.withColumn("__tie", F.rand())
     return dense_index(tied, order, id_col=id_col, start=next_id_column(existing, existing_id_col),
                        tiebreak=["__tie"]).drop("__tie")
+
+
+def reserve_ids(existing: DataFrame | Column, batch: DataFrame, id_col: str = "id", existing_id_col: str = "id") -> DataFrame:
+    """Number ``batch`` after the largest id where it is free which row gets which: every task numbers its rows from a
+    range reserved for it, without a sort or a shuffle of the rows. The numbered rows are pinned, so a lost executor
+    doesn't change them."""
+    return dense_index(batch, [], id_col=id_col, start=next_id_column(existing, existing_id_col))

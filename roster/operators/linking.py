@@ -4,9 +4,10 @@
   ``exists`` (already linked; tables with a composite key) or ``added``. Requests are de-duplicated
   first, except for enrollment, whose duplicates are legal rows. Parents are joined on their unique key, so
   no request row is ever multiplied.
-* ``unlink`` removes one row per requested pair. For enrollment (no key on the pair) that is the row with
-  the smallest id, found with a grouped ``min`` (partial aggregation: a pair holding a third of all rows
-  still costs one row per task) and removed with an anti join on the unique id.
+* ``unlink`` removes one row per request. For enrollment (no key on the pair) these are the rows with the
+  smallest ids: for a pair asked for once a grouped ``min`` (a pair holding a third of all rows still costs one
+  row per task), for one asked for several times the first places of the distributed dense index. They go by an anti
+  join on the unique id.
 * ``resolve_labels`` keeps, per label, the last pair in (name, id) order, with ``max_by`` (again partial
   aggregation, never a whole group in one task).
 """
@@ -15,13 +16,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roster import schema
 from roster.functions import text
 from roster.operators.ids import allocate_ids
 from roster.operators.links import LINKS, named_links
+from roster.plans.indexing import dense_index
 from roster.sources.tables import Tables
 
 
@@ -62,7 +64,7 @@ def link(t: Tables, kind: str, pairs: DataFrame) -> LinkResult:
         outcomes = out
     else:
         # Enrollment rows carry a generated id (AUTO_INCREMENT in the reference).
-        numbered = allocate_ids(t.max_id(spec.table), added, [a, b])
+        numbered = allocate_ids(t.high_water(spec.table), added, [a, b])
         new_table = t.get(spec.table).unionByName(numbered.select("id", a, b))
         outcomes = (numbered.select("id", a, b, F.lit("added").alias("outcome"))
                     .unionByName(out.filter(F.col("outcome") != "added")
@@ -80,11 +82,17 @@ def unlink(t: Tables, kind: str, pairs: DataFrame) -> LinkResult:
         held = current.select(a, b).withColumn("held", F.lit(1).cast("bigint"))
         new_table = current.join(asked.select(a, b), [a, b], "left_anti")
     else:
-        # As many copies go as are asked for, those with the smallest ids. Only requested pairs are ranked.
-        ranked = current.select("id", a, b).join(asked, [a, b]).withColumn(
-            "copy", F.row_number().over(Window.partitionBy(a, b).orderBy("id")))
-        held = current.join(asked.select(a, b), [a, b], "left_semi").groupBy(a, b).agg(F.count(F.lit(1)).alias("held"))
-        new_table = current.join(ranked.filter("copy <= asked").select("id"), "id", "left_anti")
+        # As many copies go as are asked for, those with the smallest ids. Pairs asked for once lose their smallest id, an
+        # aggregate. The copies of the others are numbered across tasks, and a copy's place is its number less the pair's first.
+        copies = current.select("id", a, b).join(asked, [a, b])
+        held = copies.groupBy(a, b).agg(F.count(F.lit(1)).alias("held"))
+        gone = copies.filter("asked = 1").groupBy(a, b).agg(F.min("id").alias("id")).select("id")
+        several = copies.filter("asked > 1")
+        if not several.isEmpty():
+            placed = dense_index(several, [a, b, "id"], id_col="place")
+            first = placed.groupBy(a, b).agg(F.min("place").alias("first"))
+            gone = gone.unionByName(placed.join(first, [a, b]).filter("place - first < asked").select("id"))
+        new_table = current.join(gone, "id", "left_anti")
     outcome = F.when(F.col("turn") <= F.coalesce("held", F.lit(0)), "removed").otherwise("not_found")
     outcomes = (asked.join(held, [a, b], "left").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("asked"))))
                 .select(a, b, outcome.alias("outcome")))

@@ -1,10 +1,10 @@
 """Data validation (W9): the key, reference and domain rules of the model, checked over whole tables.
 
-Each check is one aggregate (``rule, table_name, column_name, n_bad``), all unioned into one report:
+Each check gives (``rule, table_name, column_name, n_bad``), all unioned into one report:
 
 * ``pk_duplicate``: key values held by more than one row (grouped count, partial aggregation);
   ``pk_null``: rows with a NULL key column;
-* ``fk_orphan``: child rows whose non-NULL reference has no parent row (anti join on the parent key);
+* ``fk_orphan``: child rows whose non-NULL reference has no parent row (one tagged union over all tables, see below);
 * ``blank_name``, ``capacity_below_1`` (or NULL), ``missing_parent`` (a class without sport or schedule), ``date_out_of_range`` (1900-01-01 to 2100-12-31, the form bounds)
   and ``too_long`` (declared text widths).
 """
@@ -50,15 +50,31 @@ def check_keys(t: Tables) -> DataFrame:
 
 
 def check_references(t: Tables) -> DataFrame:
-    parts = []
-    for fk in schema.FOREIGN_KEYS:
-        if fk.child not in t or fk.parent not in t:
-            continue
-        child = t.get(fk.child, fk.column).filter(F.col(fk.column).isNotNull())
-        parent = t.get(fk.parent, fk.parent_column).select(F.col(fk.parent_column).alias(fk.column))
-        orphans = child.join(parent, fk.column, "left_anti").agg(F.count(F.lit(1)).alias("n_bad"))
-        parts.append(_row("fk_orphan", fk.child, fk.column, orphans))
-    return reduce(DataFrame.unionByName, parts)
+    """All references in one exchange. Every table is read once and emits, by its keys and references, (parent table, key,
+    slot): slot -1 says that the parent has the key, any other that an edge into the parent refers to it. One aggregate
+    over (parent, key) adds them up, map-side first, so a hot key costs one row a task; keys without a parent row are left."""
+    edges = [fk for fk in schema.FOREIGN_KEYS if fk.child in t and fk.parent in t]
+    number = {name: i for i, name in enumerate(dict.fromkeys(fk.parent for fk in edges))}
+    slot = {fk: [e for e in edges if e.parent == fk.parent].index(fk) for fk in edges}
+    tagged = []
+    for name in t.names():
+        entries = [(fk.column, number[fk.parent], slot[fk]) for fk in edges if fk.child == name]
+        entries += [(c, number[name], -1) for c in dict.fromkeys(fk.parent_column for fk in edges if fk.parent == name)]
+        if entries:
+            rows = F.array(*[F.struct(F.lit(p).alias("parent"), F.col(c).cast("bigint").alias("key"), F.lit(i).alias("slot"))
+                             for c, p, i in entries])
+            tagged.append(t.get(name, *dict.fromkeys(c for c, _, _ in entries)).select(F.inline(rows)).filter(F.col("key").isNotNull()))
+    if not tagged:
+        return _row("fk_orphan", "", None, t.spark.range(0).select(F.lit(0).alias("n_bad")))
+    slots = range(max(slot.values()) + 1)
+    keys = reduce(DataFrame.unionByName, tagged).groupBy("parent", "key").agg(
+        F.max(F.col("slot") == -1).alias("present"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in slots])
+    missing = keys.filter(~F.col("present")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("parent") == number[fk.parent], F.col(f"n{slot[fk]}"))), F.lit(0)).alias(f"e{i}")
+          for i, fk in enumerate(edges)])
+    return missing.select(F.inline(F.array(*[
+        F.struct(F.lit("fk_orphan").alias("rule"), F.lit(fk.child).alias("table_name"), F.lit(fk.column).alias("column_name"),
+                 F.col(f"e{i}").alias("n_bad")) for i, fk in enumerate(edges)])))
 
 
 def domain_rules(name: str) -> dict[tuple[str, str], Column]:

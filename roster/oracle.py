@@ -88,6 +88,6 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
-    if re.match(r"(?i)with\s", body):
-        return f"with {', '.join(ctes)}, {body[5:].lstrip()}"
+    if own := re.match(r"(?i)with\s+(recursive\s+)?", body):
+        return f"with {own[1] or ''}{', '.join(ctes)}, {body[own.end():]}"
     return f"with {', '.join(ctes)} {body}"

@@ -1,7 +1,7 @@
 """Broadcast only what is proven small.
 
-``bounded(df, max_rows)`` runs a cheap check (``limit(max_rows + 1).count()``) and marks the frame for
-broadcast only when it holds at most ``max_rows`` rows. Beyond the bound the frame is returned as is and
+``bounded(df, max_rows)`` runs a cheap check (rows and bytes of ``limit(max_rows + 1)``) and marks the frame for
+broadcast only when it holds at most ``max_rows`` rows of ``MAX_BYTES`` together. Beyond the bound the frame is returned as is and
 the join falls back to a shuffle join, which AQE may still turn into a broadcast from runtime sizes.
 Frames whose size is fixed by construction (a literal lookup) use ``fixed`` and skip the check.
 """
@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 100_000
 
 
-def row_bound_holds(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+MAX_BYTES = 32 << 20
+
+
+def row_bound_holds(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """At most so many rows, and so many bytes: those of texts, and 16 for any other value."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(16) for c, kind in df.dtypes), F.lit(0))
+    n, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and held <= max_bytes
 
 
 def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:

@@ -37,18 +37,23 @@ def _as_col(c: str | Column) -> Column:
 def dense_index(df: DataFrame, order: Sequence[str | Column], id_col: str = "id", start: int | Column = 1,
                 tiebreak: Sequence[str | Column] = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (ascending, nulls last, as ANSI SQL engines
-    default), refined by ``tiebreak``. ``start`` may be a literal or a scalar-subquery column."""
-    keys = [_as_col(c).asc_nulls_last() for c in list(order) + list(tiebreak)]
+    default), refined by ``tiebreak``. ``start`` may be a literal or a scalar-subquery column. Without any order nothing
+    is moved or sorted: every task's rows get the range of numbers reserved for them."""
+    return index_by(df, [_as_col(c).asc_nulls_last() for c in list(order) + list(tiebreak)], id_col, start, num_partitions)
+
+
+def index_by(df: DataFrame, keys: Sequence[Column], id_col: str = "id", start: int | Column = 1,
+             num_partitions: int | None = None) -> DataFrame:
+    """``dense_index`` by sort keys as they are (``F.desc(...)``, ``asc_nulls_first()`` and so on)."""
     start_col = start if isinstance(start, Column) else F.lit(start)
     ensure_checkpoint_dir(df.sparkSession)
     # Without an explicit count AQE may coalesce the range partitions to its advisory size. That is safe
     # here: coalesced partitions keep their range order, and the partition index is recorded in the ids
     # that the checkpoint pins, which both passes below read.
-    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    tagged = (ranged
-              .sortWithinPartitions(*keys)
-              .withColumn("__rid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    if keys:
+        ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+        df = ranged.sortWithinPartitions(*keys)
+    tagged = df.withColumn("__rid", F.monotonically_increasing_id()).checkpoint(eager=True)
     tagged = tagged.withColumn("__part", F.shiftright("__rid", _POS_BITS)) \
                    .withColumn("__pos", F.col("__rid").bitwiseAND(F.lit(_POS_MASK)))
     counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))

@@ -179,4 +179,4 @@ register("next_ids", " union all ".join(
 
 
 # Change jobs register themselves on import (they use ``register`` above).
-from roster import registry_jobs  # noqa: E402,F401
+from roster import registry_jobs, registry_state  # noqa: E402,F401

@@ -332,45 +332,51 @@ from sport s left join ch on s.id = ch.id
 # ---------------------------------------------------------------- W9 validation
 
 
-def _keys_oracle() -> str:
+def keys_sql(tables: list[str], stored: dict[str, str]) -> str:
+    """Key rules of the tables; ``stored`` names the views that hold some of them."""
     parts = []
-    for t in schema.TABLE_NAMES:
-        pk = schema.table(t).primary_key
+    for t in tables:
+        pk, held = schema.table(t).primary_key, stored.get(t, t)
         cols = ", ".join(pk)
         parts.append(f"select 'pk_duplicate' as rule, '{t}' as table_name, '{','.join(pk)}' as column_name, "
-                     f"count(*) as n_bad from (select {cols} from {t} group by {cols} having count(*) > 1) x")
+                     f"count(*) as n_bad from (select {cols} from {held} group by {cols} having count(*) > 1) x")
         nulls = " or ".join(f"{c} is null" for c in pk)
-        parts.append(f"select 'pk_null', '{t}', '{','.join(pk)}', count(case when {nulls} then 1 end) from {t}")
+        parts.append(f"select 'pk_null', '{t}', '{','.join(pk)}', count(case when {nulls} then 1 end) from {held}")
     return " union all ".join(parts)
 
 
-def _refs_oracle() -> str:
+def refs_sql(edges: list[schema.ForeignKey], stored: dict[str, str]) -> str:
     return " union all ".join(
         f"select 'fk_orphan' as rule, '{fk.child}' as table_name, '{fk.column}' as column_name, count(*) as n_bad "
-        f"from {fk.child} c where c.{fk.column} is not null and not exists "
-        f"(select 1 from {fk.parent} p where p.{fk.parent_column} = c.{fk.column})"
-        for fk in schema.FOREIGN_KEYS)
+        f"from {stored.get(fk.child, fk.child)} c where c.{fk.column} is not null and not exists "
+        f"(select 1 from {stored.get(fk.parent, fk.parent)} p where p.{fk.parent_column} = c.{fk.column})"
+        for fk in edges)
 
 
-def _domains_oracle() -> str:
+def domains_sql(tables: list[str], stored: dict[str, str]) -> str:
+    def held(n: str) -> str:
+        return stored.get(n, n)
+
     parts = [f"select 'blank_name' as rule, '{n}' as table_name, 'name' as column_name, "
-             f"count(case when not coalesce(regexp_matches(name, '[^[:space:]]'), false) then 1 end) as n_bad from {n}"
-             for n in quality.NAMED_FORMS]
-    parts.append("select 'capacity_below_1', 'class_group', 'capacity', count(*) from class_group where capacity is null or capacity < 1")
-    parts += [f"select 'missing_parent', 'class_group', '{c}', count(*) from class_group where {c} is null"
-              for c in ("sport_id", "schedule_id")]
+             f"count(case when not coalesce(regexp_matches(name, '[^[:space:]]'), false) then 1 end) as n_bad from {held(n)}"
+             for n in quality.NAMED_FORMS if n in tables]
+    if "class_group" in tables:
+        parts.append(f"select 'capacity_below_1', 'class_group', 'capacity', count(*) from {held('class_group')} where capacity is null or capacity < 1")
+        parts += [f"select 'missing_parent', 'class_group', '{c}', count(*) from {held('class_group')} where {c} is null"
+                  for c in ("sport_id", "schedule_id")]
     for n, c in quality.DATE_COLUMNS:
-        parts.append(f"select 'date_out_of_range', '{n}', '{c}', count(case when {c} < date '{quality.DATE_MIN}' "
-                     f"or {c} > date '{quality.DATE_MAX}' then 1 end) from {n}")
-    for t in schema.TABLE_NAMES:
+        if n in tables:
+            parts.append(f"select 'date_out_of_range', '{n}', '{c}', count(case when {c} < date '{quality.DATE_MIN}' "
+                         f"or {c} > date '{quality.DATE_MAX}' then 1 end) from {held(n)}")
+    for t in tables:
         for c, w in schema.table(t).max_lengths.items():
-            parts.append(f"select 'too_long', '{t}', '{c}', count(case when length({c}) > {w} then 1 end) from {t}")
+            parts.append(f"select 'too_long', '{t}', '{c}', count(case when length({c}) > {w} then 1 end) from {held(t)}")
     return " union all ".join(parts)
 
 
-register("check_pk", _keys_oracle())(quality.check_keys)
-register("check_fk", _refs_oracle())(quality.check_references)
-register("check_domains", _domains_oracle())(quality.check_domains)
+register("check_pk", keys_sql(schema.TABLE_NAMES, {}))(quality.check_keys)
+register("check_fk", refs_sql(schema.FOREIGN_KEYS, {}))(quality.check_references)
+register("check_domains", domains_sql(schema.TABLE_NAMES, {}))(quality.check_domains)
 
 
 # ---------------------------------------------------------------- S3 / S5 load once, S4 catalog

@@ -43,6 +43,17 @@ EMAIL_DOMAIN = "@example.org"
 BIRTH_BASE = "1960-01-01"
 
 
+#: The source tables each model table is derived from.
+DERIVED_FROM = {
+    "phone": ("customer",), "address": ("nation", "region"), "billing_period": ("orders",), "invoice_status": (),
+    "sport": ("part",), "schedule": ("part",), "time_slot": ("events",), "person": ("customer", "supplier"),
+    "guardian": ("supplier",), "instructor": ("supplier",), "student": ("customer", "orders"), "class_group": ("part",),
+    "session": ("events",), "enrollment": ("lineitem", "orders"), "attendance": ("events",), "plan": ("part",),
+    "invoice": ("orders",), "schedule_slot": ("part", "events"), "student_plan": ("lineitem", "orders"),
+    "cancellation": ("events",), "guardianship": ("lineitem", "orders"), "teaches": ("lineitem",), "qualified": ("lineitem", "part"),
+}
+
+
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -247,5 +258,6 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     # Enrollment ids are row numbers 1..n, so the largest id is the row count: no numbering needed.
     max_ids = {"enrollment": lambda: t().get("enrollment", "class_id").agg(F.count(F.lit(1)).cast("bigint")).scalar()}
     holder["tables"] = Tables(spark, builders, sources, origin=sf_dir, max_ids=max_ids,
-                              projection_aware={"enrollment", "class_group"})
+                              projection_aware={"enrollment", "class_group"},
+                              lineage={n: [f"{sf_dir}/{s}.parquet" for s in own] for n, own in DERIVED_FROM.items()})
     return holder["tables"]

@@ -1,7 +1,10 @@
 """Snapshot of the source relational database over JDBC (S2), renamed to the model and written to Parquet.
 
-Reads are partitioned on the numeric key column (``partitionColumn`` / ``lowerBound`` / ``upperBound`` /
-``numPartitions``) so the database is read by many tasks at once, never through the driver. Connection
+Reads are partitioned, so the database is read by many tasks at once, never through the driver: either by uniform
+strides of the numeric key column (``partitionColumn`` / ``lowerBound`` / ``upperBound`` / ``numPartitions``), or balanced, by
+predicates of equal depth. ``equi_depth`` computes these from the keys: quantiles of the first key column bound the
+ranges, and a value of it that alone fills more than a range (a hot student of a link table) is split by quantiles of the second
+column. The predicates are disjoint and complete, whatever the keys: every row is read exactly once. Connection
 settings always come from the caller; nothing is stored here. No JDBC driver jar ships with this
 repository, so tests cover the option building and the renaming only.
 """
@@ -90,6 +93,60 @@ def read_jdbc_table(spark: SparkSession, name: str, url: str, properties: dict[s
     return to_model(spark.read.format("jdbc").options(**opts).load(), name)
 
 
+def _ranges(column: str, bounds: list[str]) -> list[str]:
+    """Half-open ranges between rising bounds that cover all values."""
+    if not bounds:
+        return [f"{column} IS NOT NULL"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [f"{column} < {bounds[0]}", *inner, f"{column} >= {bounds[-1]}"]
+
+
+def _bounds(df: DataFrame, column: str, parts: int) -> list[str]:
+    """Up to ``parts`` - 1 distinct inner quantiles of a whole-number column."""
+    if parts < 2:
+        return []
+    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first().q or []
+    return [str(c) for c in sorted(set(cuts))]
+
+
+def equi_depth(keys: DataFrame, parts: int) -> list[str]:
+    """Predicates that split the rows with these keys (the one or two whole-number key columns of a table) into about
+    ``parts`` shares of like size, the largest within twice the mean. Pass them to ``spark.read.jdbc(predicates=...)``.
+
+    What reaches the driver is bounded by ``parts``: quantiles, and the values that fill more than a share."""
+    first, *second = keys.columns
+    total = keys.count()
+    if parts < 2 or total <= parts:
+        return _ranges(first, []) + [f"{first} IS NULL"]
+    share, hot = total / parts, {}
+    if second:          # one column alone may be a key, and then no value is hot
+        counts = keys.filter(F.col(first).isNotNull()).groupBy(first).count().filter(F.col("count") > share)
+        hot = {r[0]: r[1] for r in counts.collect()}        # fewer than ``parts`` values
+    others = keys.filter(~F.col(first).isin(list(hot))) if hot else keys
+    left = max(1, round((total - sum(hot.values())) / share))
+    apart = f" AND {first} NOT IN ({', '.join(map(str, sorted(hot)))})" if hot else ""
+    predicates = [p + apart for p in _ranges(first, _bounds(others, first, left))]
+    for value, n in sorted(hot.items()):
+        within = _bounds(keys.filter(F.col(first) == value), second[0], -(-n // int(share)))
+        predicates += [f"{first} = {value} AND {p}" for p in _ranges(second[0], within)]
+        predicates.append(f"{first} = {value} AND {second[0]} IS NULL")
+    return [*predicates, f"{first} IS NULL"]
+
+
+def read_balanced(spark: SparkSession, name: str, url: str, predicates: list[str], properties: dict[str, str] | None = None) -> DataFrame:
+    """A source table read with one task a predicate (see ``equi_depth``, over the source's column names)."""
+    return to_model(spark.read.jdbc(url, SOURCE_NAMES[name][0], predicates=predicates, properties=properties or {}), name)
+
+
+def source_keys(spark: SparkSession, name: str, url: str, properties: dict[str, str] | None = None,
+                bounds: tuple[int, int] | None = None, num_partitions: int | None = None) -> DataFrame:
+    """The key columns of a source table, for ``equi_depth``; only these columns are fetched."""
+    table, cols = SOURCE_NAMES[name]
+    keys = [cols[c] for c in schema.table(name).primary_key][:2]
+    opts = jdbc_options(url, table, properties, keys[0] if bounds else None, *(bounds or (None, None)), num_partitions if bounds else None)
+    return spark.read.format("jdbc").options(**opts).load().select(*keys)
+
+
 def jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str] | None = None,
                 bounds: dict[str, tuple[int, int]] | None = None, num_partitions: int = 8) -> Tables:
     """All model tables read lazily over JDBC (partitioned where key bounds are given)."""

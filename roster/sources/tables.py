@@ -6,7 +6,7 @@ for; the star-schema adapter uses this to avoid numbering enrollments when the i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,8 @@ class Tables:
     def __init__(self, spark: SparkSession, builders: Mapping[str, Builder],
                  sources: Mapping[str, Callable[[], DataFrame]] | None = None, origin: str | None = None,
                  max_ids: Mapping[str, Callable[[], Column]] | None = None,
-                 projection_aware: Iterable[str] = ()):
+                 projection_aware: Iterable[str] = (), marks: Mapping[str, Callable[[], Column]] | None = None,
+                 lineage: Mapping[str, Sequence[str]] | None = None):
         unknown = set(builders) - set(schema.TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -33,6 +34,10 @@ class Tables:
         self.origin = origin   # where the tables were derived from (names the load-once folder)
         # Sources that know a table's largest id without building every id (a row-number id ends at count).
         self._max_ids = dict(max_ids or {})
+        # Largest ids that AUTO_INCREMENT tables ever gave out, as far as earlier versions of the tables tell.
+        self._marks = dict(marks or {})
+        # Input paths a table is derived from, where they are known.
+        self.lineage = dict(lineage or {})
         # Builders that do less work for fewer columns get the requested columns; the others are built once
         # per table set and projected, so any checks they run are not repeated.
         self._projection_aware = set(projection_aware)
@@ -83,13 +88,26 @@ class Tables:
             return self._max_ids[name]()
         return self.get(name, id_col).agg(F.max(id_col)).scalar()
 
+    def high_water(self, name: str, id_col: str = "id") -> Column:
+        """Largest id that the table holds or, for AUTO_INCREMENT tables, ever held in this version or one it was made
+        from (NULL if none): an id that was given out once is not given out again after its row is deleted."""
+        held = self.max_id(name, id_col)
+        return F.greatest(held, self._marks[name]()) if name in self._marks and id_col == "id" else held
+
+    def mark(self, name: str) -> Column:
+        """The largest id that earlier versions of a table are known to have given out (NULL if none)."""
+        return self._marks[name]() if name in self._marks else F.lit(None).cast("bigint")
+
     def replace(self, **frames: DataFrame) -> "Tables":
         """A new version with some tables replaced (the change jobs return these)."""
-        builders = dict(self._builders)
-        for name, df in frames.items():
+        return self.rebuild({name: (lambda cols, df=df: df) for name, df in frames.items()}, projection_aware=False)
+
+    def rebuild(self, builders: Mapping[str, Builder], projection_aware: bool = True) -> "Tables":
+        """A new version with some tables built anew, from the columns asked for if ``projection_aware``."""
+        for name in builders:
             schema.table(name)
-            builders[name] = lambda cols, df=df: df
-        # A replaced table no longer has the shortcut for its largest id.
-        max_ids = {n: f for n, f in self._max_ids.items() if n not in frames}
-        return Tables(self.spark, builders, self._sources, self.origin, max_ids,
-                      self._projection_aware - set(frames))
+        # A replaced table no longer has the shortcut for its largest id, but its ids stay given out.
+        max_ids = {n: f for n, f in self._max_ids.items() if n not in builders}
+        marks = self._marks | {n: (lambda n=n: self.high_water(n)) for n in builders if n in schema.AUTO_INCREMENT and n in self}
+        aware = self._projection_aware | set(builders) if projection_aware else self._projection_aware - set(builders)
+        return Tables(self.spark, {**self._builders, **builders}, self._sources, self.origin, max_ids, aware, marks)
