@@ -7,9 +7,10 @@ sends each member to the child named by its value there. Similar documents follo
 
 * A node of up to ``SMALL`` members and ``WEIGHT`` shingles is compared exhaustively: first signatures (pairs far below the threshold go),
   then the full shingle sets of the groups that remain. Groups met again in other nodes are compared once.
-* In a larger node every member is compared with the node's first in the same two steps, and the node branches on. Links
-  found so far are turned into components between levels, and a node within one component needs no further work;
-  this ends the recursion in dense groups, of whatever size, without comparing all their pairs.
+* In a larger node every member is compared with the node's first in the same two steps, and the node branches on. Between
+  levels one table of labels takes in the new links (``merged``), and a node whose members share a label needs no further
+  work; this ends the recursion in dense groups, of whatever size, without comparing all their pairs. Labels may be finer
+  than components, which costs work but no link. Components are computed once, from all links.
 * A node that is still large after ``LEVELS`` levels is compared completely, block by block.
 
 The threshold gives the number of trees, how often nodes choose a second coordinate, and the least number of equal
@@ -220,6 +221,43 @@ def _close(table: pa.Table, tuned: Tuning) -> pa.Table:
     return pa.table({"cluster": pa.array(names, pa.int64()), "rid": pa.array(rows, pa.int64())})
 
 
+class _Sets:
+    """A group's shingle sets as postings of the shingles that several of them hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+        by_token = np.argsort(flat, kind="stable")
+        owner, flat = owner[by_token], flat[by_token]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        column = np.cumsum(new) - 1
+        common = np.bincount(column)[column] > 1        # a token of one document alone is in no intersection
+        self.n, self.size = len(sets), size
+        self.owner, self.column = owner[common], np.cumsum(new & common)[common] - 1
+        self.width = int(self.column[-1]) + 1 if len(self.column) else 0
+        self.starts = np.searchsorted(self.column, np.arange(self.width + 1))
+        by_owner = np.argsort(self.owner, kind="stable")
+        self.tokens = self.column[by_owner]
+        self.bounds = np.searchsorted(self.owner[by_owner], np.arange(self.n + 1))
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of x with y."""
+        if len(x) <= 4:             # few: their tokens' postings are counted
+            out = np.empty((len(x), self.n), dtype=np.int64)
+            for i, k in enumerate(x):
+                lists = [self.owner[self.starts[t]:self.starts[t + 1]] for t in self.tokens[self.bounds[k]:self.bounds[k + 1]]]
+                out[i] = np.bincount(np.concatenate(lists), minlength=self.n) if lists else 0
+            return out[:, y]
+        out = np.zeros((len(x), len(y)), dtype=np.float32)
+        for at in range(0, self.width, 2048):           # many: matrix products, a stretch of tokens at a time
+            end = min(self.width, at + 2048)
+            part = slice(self.starts[at], self.starts[end])
+            has = np.zeros((self.n, end - at), dtype=np.float32)
+            has[self.owner[part], self.column[part] - at] = 1
+            out += has[x] @ has[y].T
+        return np.rint(out).astype(np.int64)
+
+
 def _linked(table: pa.Table, percent: int) -> pa.Table:
     """Links that hold a group's similar documents together (to the first of each component), on full sets.
 
@@ -227,28 +265,10 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     in one component already are not compared."""
     rid = table.column("rid").to_numpy()
     order = np.argsort(rid)
-    rid, sets = rid[order], table.column("shingles").to_pylist()
-    sets = [np.frombuffer(sets[i], dtype="<u8") for i in order]
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
-    by_token = np.argsort(flat, kind="stable")
-    owner, flat = owner[by_token], flat[by_token]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column = np.cumsum(new) - 1
-    common = np.bincount(column)[column] > 1        # a token of one document alone is in no intersection
-    column, owner = np.cumsum(new & common)[common] - 1, owner[common]
-    width = int(column[-1]) + 1 if len(column) else 0
-    has = np.zeros((len(sets), width), dtype=np.uint8)
-    has[owner, column] = 1
-
-    def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(y)), dtype=np.float32)
-        for at in range(0, width, 4096):
-            out += has[x, at:at + 4096].astype(np.float32) @ has[y, at:at + 4096].astype(np.float32).T
-        return np.rint(out).astype(np.int64)
-
-    first = np.full(len(sets), -1)
-    for start in range(len(sets)):
+    rid, packed = rid[order], table.column("shingles").to_pylist()
+    sets = _Sets([np.frombuffer(packed[i], dtype="<u8") for i in order])
+    size, first = sets.size, np.full(len(rid), -1)
+    for start in range(len(rid)):
         if first[start] >= 0:
             continue
         first[start], reached = start, [start]
@@ -257,11 +277,11 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
             rest = np.flatnonzero(first < 0)
             if not len(rest):
                 break
-            common_ = both(block, rest)
-            near = (100 * common_ >= percent * (size[block][:, None] + size[rest][None, :] - common_)).any(axis=0)
+            common = sets.shared(block, rest)
+            near = (100 * common >= percent * (size[block][:, None] + size[rest][None, :] - common)).any(axis=0)
             first[rest[near]] = start
             reached += rest[near].tolist()
-    own = np.flatnonzero(first != np.arange(len(sets)))
+    own = np.flatnonzero(first != np.arange(len(rid)))
     return pa.table({"a": pa.array(rid[first[own]]), "b": pa.array(rid[own])})
 
 
@@ -305,15 +325,32 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _work(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(cluster, rid) groups to compare: clusters with members in common are put together where that keeps to the
-    limits of a node, so that most sets are needed once; the others stay as they are."""
-    heads = clusters.groupBy("cluster").agg(F.min("rid").alias("a"))
-    joint = components(clusters.join(heads, "cluster").select("a", F.col("rid").alias("b"))).withColumnRenamed("v", "rid")
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / SMALL, F.sum("n_shingles") / WEIGHT))
-    size = joint.join(sizes, "rid").groupBy("component").agg(parts.alias("parts"))
-    placed = pin(joint.join(size, "component"), "joint")
-    whole = placed.filter("parts = 1").select(F.col("component").alias("cluster"), "rid")
-    return whole.unionByName(clusters.join(placed.filter("parts > 1").select("rid"), "rid", "left_semi"))
+    """(cluster, rid) groups to compare: clusters with the same smallest member are put together where that keeps to the
+    limits of a node; the others stay as they are."""
+    heads = clusters.groupBy("cluster").agg(F.min("rid").alias("head"))
+    joint = clusters.join(heads, "cluster")
+    members = joint.select("head", "rid").distinct().join(sizes, "rid")
+    fits = members.groupBy("head").agg(
+        ((F.count(F.lit(1)) <= SMALL) & (F.sum("n_shingles") <= WEIGHT)).alias("fits"))
+    return (joint.join(fits, "head").select(F.when(F.col("fits"), F.xxhash64("head")).otherwise(F.col("cluster")).alias("cluster"), "rid")
+            .distinct())
+
+
+def merged(labels: DataFrame | None, made: DataFrame) -> DataFrame:
+    """(v, label): ``labels`` after links (a, b). Labels are vertices; each goes to the least one linked with it, and on to
+    that one's. Vertices of one label are always connected, but a component may keep several labels."""
+    if labels is not None:
+        for c in ("a", "b"):
+            given = labels.select(F.col("v").alias(c), F.col("label").alias("known"))
+            made = made.join(given, c, "left").withColumn(c, F.coalesce("known", c)).drop("known")
+    both = made.unionByName(made.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+    on = low.join(low.select(F.col("a").alias("to"), F.col("to").alias("label")), "to").select(F.col("a").alias("v"), "label")
+    if labels is None:
+        return pin(on, "labels")
+    moved = labels.join(on.select(F.col("v").alias("label"), F.col("label").alias("new")), "label", "left")
+    known = moved.select("v", F.coalesce("new", "label").alias("label"))
+    return pin(known.unionByName(on).groupBy("v").agg(F.min("label").alias("label")), "labels")
 
 
 def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -329,7 +366,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
             nodes = nodes.withColumn("label", F.col("rid"))
         else:
             nodes = (nodes.join(labels.withColumnRenamed("v", "rid"), "rid", "left")
-                     .select("node", "rid", "size", F.coalesce("component", "rid").alias("label")))
+                     .select("node", "rid", "size", F.coalesce("label", "rid").alias("label")))
         alive = (nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("rid").alias("head"),
                                            F.min("label").alias("low"), F.max("label").alias("high"))
                  .filter("n > 1 AND low < high")
@@ -364,7 +401,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
         found = made if found is None else found.unionByName(made)
         if not more:
             break
-        labels = components(found)
+        labels = merged(labels, made)
         nodes = large.select("node", "rid", "size", "sig").mapInArrow(lambda b: _branched(b, tuned), "node long, rid long, size long")
     return found
 
