@@ -52,8 +52,9 @@ def token_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkEncoder:
-    """Ids of a byte-level BPE ``tokenizers`` file; strings of special tokens in a text are ordinary text.
+def tokenizer(path: str, special: bool = True) -> ChunkEncoder:
+    """Ids of a byte-level BPE ``tokenizers`` file. A string of a special token in a text gives that token, as in the library
+    unless told otherwise; with ``special`` false it is ordinary text.
 
     Such a file's ids are in the order of its merges, so they serve as ranks of the faster ``tiktoken`` encoder, which
     gives the same ids; the file is refused if it is of another kind."""
@@ -62,14 +63,21 @@ def tokenizer(path: str) -> ChunkEncoder:
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    model, special = file["model"], {t["content"] for t in file["added_tokens"]}
-    ranks = token_bytes({t: i for t, i in model["vocab"].items() if t not in special})
+    model, added = file["model"], {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = token_bytes({t: i for t, i in model["vocab"].items() if t not in added})
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     step = file["pre_tokenizer"]
     if (model["type"], step["type"], step["add_prefix_space"], file["normalizer"]) != ("BPE", "ByteLevel", False, None) or \
-            merged != sorted(merged) or len(merged) + 256 != len(ranks):
+            merged != sorted(merged) or len(merged) + 256 != len(ranks) or any(" " in t or not t for t in added) or \
+            any(t[flag] for t in file["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError(f"{path} isn't a plain byte-level BPE file with ids in the order of merges")
-    encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
+
+    def encode(piece: str) -> list[int]:
+        if special and any(t in piece for t in added):      # a special token has no space, so no chunk cuts it
+            return encoding.encode(piece, allowed_special="all")
+        return encoding.encode_ordinary(piece)
+
     return ChunkEncoder(lambda pieces: [np.array(encode(p), dtype="<u4").tobytes() for p in pieces])
 
 

@@ -260,10 +260,13 @@ def test_the_tokenizers_file_gives_the_same_ids(odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*ODD_SPACES, *(r["text"] or "" for r in collected(odd))]
-    own = packing.tokenizer(P.path("byte_bpe_50k.json"))(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in own] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    end = "<|endoftext|>"
+    special = [f"hello {end} world", end, f"a{end}b", f"a  {end}  b", f"x\n{end}\n", f"{end}{end} {end}", "<|endoftext", f"<|<|endoftext|>|>{end[:-1]} >"]
+    texts = [*ODD_SPACES, *special, *(r["text"] or "" for r in collected(odd))]
+    for ordinary in (False, True):
+        t.encode_special_tokens = ordinary
+        own = packing.tokenizer(P.path("byte_bpe_50k.json"), not ordinary)(texts)
+        assert [np.frombuffer(b, "<u4").tolist() for b in own] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing_counts_loss_without_the_prompt(spark):
