@@ -13,9 +13,11 @@ byte) that some language knows, each with every language's complete code length,
 order of the contexts with every language's escape length. A byte then takes one lookup at the longest order
 for all languages; only bytes of strings that no language knows go on to shorter ones.
 
-The model is fitted on at most ``SAMPLE`` documents a language of at most ``MAX_BYTES`` bytes, those with the smallest
-hash of their id, so its size doesn't depend on the table; it is collected and broadcast. Ranks within a language
-are limited before the shuffle. Every document is scored, whole, in Arrow batches without a shuffle.
+The model is fitted on at most ``SAMPLE`` documents of at most ``MAX_BYTES`` bytes of each of the ``LANGUAGES`` most frequent
+languages, those with the smallest hash of their id, so its size doesn't depend on the table; it is collected and
+broadcast. Rows are counted by language first, and only those below a bound on the hash that some four times ``SAMPLE`` rows
+pass are ranked, so that no task ranks a language. Every document is scored, whole, in Arrow batches without a shuffle; a
+text's code length is added up by blocks of ``BLOCK`` bytes.
 
 Defined cases: ``und`` with score 0 for a null text, a text without a letter, or a model without languages; ties
 go to the language that sorts first; rows that repeat a ``doc_id`` are judged each by its own text; an empty table
@@ -38,6 +40,8 @@ from roster.llm.shared import slices
 ORDER = 4
 SAMPLE = 400
 MAX_BYTES = 20_000
+LANGUAGES = 256
+BLOCK = 1 << 20
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -113,10 +117,18 @@ class Model:
     def bits(self, data: np.ndarray) -> np.ndarray:
         """Code length of the bytes in every language."""
         total = np.zeros(len(self.languages))
-        windows = codes(np.concatenate([np.zeros(ORDER, np.uint64), data]), ORDER + 1)   # of each byte, padded in front
-        left = windows[ORDER:]
+        for at in range(0, len(data), BLOCK):
+            before = data[at - ORDER:at] if at else np.zeros(ORDER, np.uint8)       # the first bytes have no context
+            block = np.concatenate([before, data[at:at + BLOCK]]).astype(np.uint64)
+            total += self._block_bits(codes(block, ORDER + 1), 0 if at else ORDER)
+        return total
+
+    def _block_bits(self, windows: np.ndarray, heads: int) -> np.ndarray:
+        """Code length of the last byte of every window; the byte of one of the first ``heads`` windows, number k, has k bytes
+        of context."""
+        total, left = np.zeros(len(self.languages)), windows[heads:]
         for k in range(ORDER, -1, -1):
-            if k < ORDER:       # the byte number k has no longer context than this
+            if k < heads:
                 left = np.concatenate([left, windows[k:k + 1]])
             known, unknown = self.strings[k].add_up(left & np.uint64((1 << (8 * k + 8)) - 1))
             left = left[unknown]
@@ -127,7 +139,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        bits = self.bits(np.frombuffer(text.lower().encode(), dtype=np.uint8).astype(np.uint64))
+        bits = self.bits(np.frombuffer(text.lower().encode(), dtype=np.uint8))
         best = int(bits.argmin())
         return self.languages[best], float(1 / np.exp2(bits[best] - bits).sum())
 
@@ -166,8 +178,12 @@ def fit(samples: dict[str, list[str]]) -> Model:
 def train(labelled: DataFrame, sample: int = SAMPLE, max_bytes: int = MAX_BYTES) -> Model:
     """The model of (doc_id, text, lang) rows; the sample is bounded by both parameters."""
     rows = labelled.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "lang", "text")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # The smallest hashes of a language of n rows, some four samples of them.
+    place = (F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5).alias("place")
+    low = rows.select("doc_id", "lang", place).join(F.broadcast(sizes), "lang").filter(F.col("place") * F.col("n") <= 4 * sample)
+    by_hash = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = low.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample)
     # At most ``sample`` ids a language.
     drawn = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     texts: dict[str, list[str]] = {}

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from roster.llm.shared import pin
 
-KEY = "surrogates"
 ROUNDS = 24
 
 #: Titles and the gender they tell (m, f, or n for neither).
@@ -140,7 +139,7 @@ def _candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     return stream.select("kind", "canon", "gender", made.alias("surrogate"))
 
 
-def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon, gender); surrogates are distinct within a kind (given
     names and surnames together) and differ from all entities."""
     family = F.when(F.col("kind").isin("given", "surname"), "name").otherwise(F.col("kind"))
@@ -200,7 +199,7 @@ def _rendered() -> Column:
     return F.when(kind == "email", mail).when(kind == "ip", s).when(kind.isin("given", "surname"), name).otherwise(placed)
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, carry: Sequence[str] = ()) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: doc_id, text with surrogates, the columns named in ``carry``, n_<kind> (mentions) for
     each of ``KINDS``."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("version"), F.struct(F.lit(0).alias("_"), *carry).alias("carry"))

@@ -121,10 +121,45 @@ def brute_bits(texts: list[str], text: str) -> float:
 @pytest.mark.parametrize("text", ["the rana", "Ñ?", "a", "zzzz 12\x00 catcat", "la casa y the hat " * 20])
 def test_code_lengths_are_exact(text):
     model = langid.fit(SAMPLES)
-    bits = model.bits(np.frombuffer(text.lower().encode(), dtype=np.uint8).astype(np.uint64))
+    bits = model.bits(np.frombuffer(text.lower().encode(), dtype=np.uint8))
     assert bits == pytest.approx([brute_bits(SAMPLES[x], text) for x in model.languages])
 
 
+def test_code_lengths_add_up_over_blocks(monkeypatch):
+    model, data = langid.fit(SAMPLES), np.frombuffer("the rana y la casa that hat ñ".encode() * 9, dtype=np.uint8)
+    whole = model.bits(data)
+    for block in (langid.ORDER, 7, 250):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert model.bits(data) == pytest.approx(whole)
+
+
+def test_a_text_of_thirty_megabytes_takes_bounded_memory():
+    import tracemalloc
+
+    model, text = langid.fit(SAMPLES), "the rana y la casa that hat " * 1_100_000
+    tracemalloc.start()
+    assert model.predict(text)[0] in SAMPLES
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+
+
+def test_the_sample_has_the_smallest_hashes(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"),
+                                    F.when(F.col("id") % 3 == 0, "aa").when(F.col("id") % 500 == 1, "bb").otherwise("cc").alias("lang"))
+    seen = {}
+    old = langid.fit
+    try:
+        langid.fit = lambda samples: seen.update(samples) or old(samples)
+        langid.train(rows, sample=20)
+    finally:
+        langid.fit = old
+    hashed = rows.withColumn("h", F.xxhash64("doc_id")).collect()
+    for lang in ("aa", "bb", "cc"):
+        want = sorted((r.h, r.text) for r in hashed if r.lang == lang)[:20]
+        assert sorted(seen[lang]) == sorted(t for _, t in want)
+
+
 def test_language_of_odd_rows(odd, clashing, empty):
     model = langid.fit(SAMPLES)
     for docs in (odd, clashing):
@@ -197,7 +232,7 @@ def luhn(number: str) -> bool:
 
 def test_surrogates(spark, empty):
     docs = spark.createDataFrame(PRIVATE, "doc_id long, text string").withColumn("gaps", F.lit(1)).withColumn("pos", F.lit(1))
-    rows = collected(pii.replace_pii(docs))
+    rows = collected(pii.replace_pii(docs, "key"))
     by = collections.defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
@@ -214,14 +249,14 @@ def test_surrogates(spark, empty):
     assert mail.endswith(".example.com") and any(r["text"] == f"{mail}&&& v1.2.3" for r in by[5])
     assert by[3][0]["text"] is None and by[4][0]["text"] == "" and by[6][0]["text"] == PRIVATE[-1][1]
     assert [by[1][0][f"n_{k}"] for k in pii.KINDS] == [2, 0, 0, 0, 0, 2, 2]
-    assert pii.replace_pii(empty).count() == 0
+    assert pii.replace_pii(empty, "key").count() == 0
 
 
 def test_addresses_before_dots_are_found(spark):
     ends = [". Then more", "...", ".) and", ".", "", ".5 more", ", more", ". x@y.org"]
     rows = [(i, f"write to a.b@mail.example.com{end}") for i, end in enumerate(ends)]
     rows.append((99, "x@" + "a." * 100_000 + "com and x@" + "a." * 100_000))
-    got = {r["doc_id"]: r for r in collected(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")))}
+    got = {r["doc_id"]: r for r in collected(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key"))}
     for i, end in enumerate(ends):
         assert got[i]["n_email"] == 1 + end.count("@")
         assert re.match(r"write to (?!a\.b@mail)\S+@\w+\.example\.com" + re.escape(end.split("x@")[0]), got[i]["text"])
@@ -232,10 +267,10 @@ def test_surrogates_are_distinct_in_a_narrow_format(spark):
     """600 addresses of the shape x@yy.zz have many collisions; all surrogates differ from each other and the entities."""
     real = [f"{a}@{b}{c}.de" for a in "abcdefgh" for b in "abcdefghij" for c in "abcdefgh"][:600]
     entities = spark.createDataFrame([("email", e, "n") for e in real], "kind string, canon string, gender string")
-    got = collected(pii.surrogates(entities))
+    got = collected(pii.surrogates(entities, "key"))
     made = [r["surrogate"] for r in got]
     assert len(got) == len(set(made)) == 600 and not set(made) & set(real)
-    assert {(r["canon"], r["surrogate"]) for r in collected(pii.surrogates(entities))} == {(r["canon"], r["surrogate"]) for r in got}
+    assert {(r["canon"], r["surrogate"]) for r in collected(pii.surrogates(entities, "key"))} == {(r["canon"], r["surrogate"]) for r in got}
     assert {r["surrogate"] for r in collected(pii.surrogates(entities, "other key"))} != set(made)
 
 
@@ -256,7 +291,7 @@ def test_pipeline_stages(spark, odd, clashing, empty):
             assert sum(any(c.isalpha() for c in r["text"] or "") for r in gone) <= 6       # odd rows of invented words
             assert not [r for r in after if not any(c.isalpha() for c in r["text"])]
         elif name == "near_duplicates":
-            expected = len(set(brute_components([r for r in before])))
+            expected = len(set(brute_components([r for r in before], pipeline.NEAR_PERCENT)))
             assert len(after) == expected
         elif name in ("lines", "secrets"):
             assert len(after) == len(before)
@@ -265,6 +300,8 @@ def test_pipeline_stages(spark, odd, clashing, empty):
         docs = out
     pieces = collected(pipeline.STAGES[-1][1](spark, docs, SF001))
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in collected(docs)}
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language(spark, unlabelled, SF001).count() == odd.count()
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, SF001).count() == 0
         assert stage(spark, clashing, SF001).count() >= 0
