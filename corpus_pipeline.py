@@ -28,8 +28,11 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that no language explains better than all others together.
-    The models are learned from the labelled rows of the stage's own documents."""
+    The models are learned from the labelled rows of the stage's own documents. Without any labelled row there is nothing to
+    judge by, and all documents stay."""
     model = langid.train(docs)
+    if not model.languages:
+        return _as_documents(docs)
     judged = langid.identify(docs.withColumn("kept_text", F.col("text")), model, carry=["kept_text", "lang", "source"])
     kept = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return _as_documents(kept.withColumnRenamed("kept_text", "text"))
