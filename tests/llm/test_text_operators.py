@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roster.llm import bpe, exact_dedup, line_dedup, packing, pretokens, quality, secret_scan
+from tests.llm.conftest import words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACES = " \t\n\x0b\x0c\r"
@@ -99,6 +100,16 @@ def test_quality(odd, clashing, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_rejects_beyond_the_base_rules(spark):
+    rng = random.Random(4)
+    own, passage = words(rng, 95), words(rng, 30)
+    texts = {1: own + passage + passage, 2: own + passage, 3: own * 2}
+    docs = spark.createDataFrame([(i, " ".join(w + str(k % 7) if i == 2 else w for k, w in enumerate(t))) for i, t in texts.items()],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in collected(quality.quality(docs))}
+    assert got == {1: (False, False), 2: (False, True), 3: (True, False)}
+
+
 @pytest.mark.parametrize("n", [2, 5, 7])
 def test_repeated_characters_are_measured_once(n):
     rng = np.random.default_rng(3)
