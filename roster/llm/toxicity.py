@@ -1,9 +1,10 @@
 """Toxicity scores of deobfuscated text (operator 2).
 
-Disguised words are restored first, by a noisy channel. A suspicious token becomes a lattice: each character may
-stand for itself, for letters it resembles (leetspeak), or for nothing (separators); a run of equal letters may stand
-for one or two; between single characters set apart by spaces the space may be kept or dropped. Viterbi decoding finds
-the likeliest path under a character trigram model. Plain tokens have one path and pass unchanged.
+Disguised words are restored first, by a noisy channel. A token with a look-alike, a separator, a doubled letter or letters
+of two scripts becomes a lattice: each character may stand for itself, for letters it resembles (leetspeak, other
+scripts), or for nothing (separators); a run of equal letters may stand for one or two; between single characters set
+apart by spaces the space may be kept or dropped. Viterbi decoding finds the likeliest path under a character trigram
+model, the plain reading among them. Other tokens have one path and pass unchanged.
 
 The trigram model is counted over all documents (in the tasks, then summed by trigram), over a fixed alphabet, so what
 reaches the driver is bounded by the alphabet. The classifier works on the restored text: how often each word and each
@@ -43,14 +44,20 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou",
     "€": "e", "£": "l", "¥": "y",
 }
+#: Letters of other scripts that look like Latin ones; read so only in tokens that also hold Latin letters.
+OTHER_SCRIPTS = dict(zip("авеікмнорстухѕјһԁԛԝαβεικνορτυχ", "abeikmhopctyxsjhdqwabeikvoptux", strict=True))
 SEPARATORS = ".-_~'"
 _SPACED = re.compile(r" \S \S \S(?: \S)*(?= )")      # in a line set between spaces
 _WORD = re.compile(r"[^\W\d_]+")
 _TAIL = re.compile(r"[!.,;:?\"')\]}*]+$|([^\w\s])\1\1+$")
 _HEAD = re.compile(r"^[\"'(\[{*]+")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"([a-zß-ÿ])\1|([^\W\d_])\2\2")
 _SYMBOL = "[" + re.escape("".join(LOOKS_LIKE)) + "]"
-_DISGUISED = re.compile(rf"[^\W\d_]{_SYMBOL}+[^\W\d_]|^{_SYMBOL}{{1,3}}[^\W\d_]{{2}}|^(?:\w[{re.escape(SEPARATORS)}]){{2,}}\w$")
+_DISGUISED = re.compile(rf"{_SYMBOL}|[{re.escape(SEPARATORS)}]")
+_LETTER = re.compile(r"[^\W\d_]")
+_ALL_SYMBOLS = re.compile(rf"(?!\d+$)(?!(.)\1*$){_SYMBOL}{{3,}}$")
+_LATIN = re.compile(r"[a-zß-ÿ]")
+_OTHER = re.compile("[" + "".join(OTHER_SCRIPTS) + "]")
 _NO_WORD = re.compile(r"@.*\.|/|=|\d{4}|[0-9a-f]{16}", re.IGNORECASE)
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
@@ -84,7 +91,9 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 class Channel:
     """Restores disguised words by Viterbi decoding under a trigram model with interpolated shorter contexts."""
 
-    DROP, SWAP, KEEP_SPACE = -1.0, -0.5, -2.0      # log costs of the channel
+    # Log costs of the channel.
+    DROP, SWAP, KEEP_SPACE = -1.0, -0.5, -2.0
+    KEEP_SYMBOL, KEEP_OTHER, KEEP_SEPARATOR, DROP_SEPARATOR, DROP_DOUBLE = -8.0, -12.0, -1.0, -2.0, -9.0
 
     def __init__(self, counts: np.ndarray):
         tri = counts.astype(float) + 0.0
@@ -96,10 +105,10 @@ class Channel:
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest string; each place of the lattice offers strings with their channel cost."""
-        paths = {(0, 0): (0.0, "")}
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for place in lattice:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, trace) in paths.items():
                 for out, cost in place:
                     x, y, s = a, b, score + cost
                     for c in out:
@@ -107,33 +116,53 @@ class Channel:
                         s += self.log[x][y][n]
                         x, y = y, n
                     if (x, y) not in new or new[x, y][0] < s:
-                        new[x, y] = (s, text + out)
+                        new[x, y] = (s, (trace, out) if out else trace)
             paths = new
-        return max((s + self.log[a][b][0], t) for (a, b), (s, t) in paths.items())[1]
+        _, trace = max(((s + self.log[a][b][0], trace) for (a, b), (s, trace) in paths.items()), key=lambda path: path[0])
+        outs = []
+        while trace:
+            trace, out = trace
+            outs.append(out)
+        return "".join(reversed(outs))
 
     def _places(self, symbols: str) -> list[list[tuple[str, float]]]:
-        places = []
+        """The lattice of a token: what each run of equal characters may stand for."""
+        places: list[list[tuple[str, float]]] = []
+        latin = bool(_LATIN.search(symbols))
         for c, run in groupby(symbols):
             n = len(list(run))
+            likely, keep = LOOKS_LIKE.get(c, ""), self.KEEP_SYMBOL
+            if latin and c in OTHER_SCRIPTS:
+                likely, keep = OTHER_SCRIPTS[c], self.KEEP_OTHER
             if c in SEPARATORS:
-                places.append([("", 0.0)])
-            elif c in LOOKS_LIKE:
-                likely = [(x, self.SWAP) for x in LOOKS_LIKE[c]]
-                places += [likely] if n == 1 else [likely, [*likely, ("", 0.0)]]
+                place = [("", self.DROP_SEPARATOR), (c * n, self.KEEP_SEPARATOR)]
+            elif likely:
+                one = self.SWAP + (self.DROP_DOUBLE if n == 2 else 0.0)
+                place = [(x, one) for x in likely] + [(c * n, keep)]
+                if n > 1:
+                    place += [(x + y, self.SWAP) for x in likely for y in likely]
             elif n > 2:
-                places.append([(c, 0.0), (c * 2, 0.0)])
+                place = [(c, 0.0), (c * 2, 0.0)]
+            elif n == 2 and c in _NUMBER:
+                place = [(c * 2, 0.0), (c, self.DROP_DOUBLE)]
+            else:
+                place = [(c * n, 0.0)]
+            if len(place) == 1 and places and len(places[-1]) == 1:
+                places[-1] = [(places[-1][0][0] + place[0][0], 0.0)]
             else:
-                places.append([(c * n, 0.0)])
+                places.append(place)
         return places
 
     def token(self, token: str) -> str:
         """A lower-case token's restored form, or the token itself."""
-        if token.isalpha() and not _RUN.search(token):
+        if is_plain(token):
             return token
         core = _TAIL.sub("", _HEAD.sub("", token))
-        if not _NO_WORD.search(core) and (_DISGUISED.search(core) or _RUN.search(core)):
+        if _NO_WORD.search(core) or is_plain(core):
+            return core
+        if _LETTER.search(core) if _DISGUISED.search(core) else not core.isascii() or _RUN.search(core):
             return self.decode(self._places(core))
-        return core
+        return self.decode(self._places(core)) if _ALL_SYMBOLS.match(core) else core
 
     def spaced(self, run: str) -> str:
         """Single characters set apart by spaces, put together to words again."""
@@ -148,6 +177,11 @@ class Channel:
         return self.decode(places)
 
 
+def is_plain(token: str) -> bool:
+    """Whether a lower-case token is a word without doubled letters and look-alikes of another script."""
+    return token.isalpha() and not _RUN.search(token) and (token.isascii() or not (_OTHER.search(token) and _LATIN.search(token)))
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings of three and four letters."""
     return [word, *(f"{word[:k]}…" for k in (3, 4) if len(word) > k)]
@@ -163,8 +197,7 @@ class Tokens(dict):
     def __missing__(self, token: str) -> object:
         lower = token.lower()
         plain = lower.rstrip(".,")
-        simple = plain.isalpha() and not _RUN.search(plain)
-        found = self.make([plain] if simple else _WORD.findall(self.channel.token(lower)))
+        found = self.make([plain] if is_plain(plain) else _WORD.findall(self.channel.token(lower)))
         if len(self) < self.limit and len(token) < 48:
             self[token] = found
         return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -202,6 +203,42 @@ def test_disguised_words_are_restored():
     assert reader.counts("")[1] == 0
 
 
+@pytest.fixture(scope="module")
+def channel(spark):
+    return toxicity.Channel(toxicity.char_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+@pytest.mark.parametrize("disguised,word", [
+    ("1d1ot", "idiot"), ("l0ser", "loser"), ("idio7", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("stuupid", "stupid"),
+    ("st.up.id", "stupid"), ("st-upid", "stupid"), ("s.t.u.p.!.d", "stupid"), ("idi\u043et", "idiot"), ("\u0456diot", "idiot"),
+    ("sc*m", "scum"), ("l0$$er", "loser"), ("mor\u03bfn", "moron")])
+def test_each_kind_of_disguise_is_restored(channel, disguised, word):
+    assert channel.token(disguised) == word
+
+
+@pytest.mark.parametrize("token", ["letter", "well-known", "example.com", "covid19", "100%", "12:30", "2024-01-05", "llos",
+                                   "\u0434\u043e\u043c", "\u4eba\u4eba", "...", "---", "$$$", "12345", ""])
+def test_plain_readings_stay(channel, token):
+    assert channel.token(token) in (token, token.rstrip("."), "")
+
+
+def test_viterbi_finds_the_best_of_all_paths(channel):
+    def value(outs: list[tuple[str, float]]) -> float:
+        x = [0, 0, *(toxicity._NUMBER.get(c, 0) for out, _ in outs for c in out), 0]
+        return sum(cost for _, cost in outs) + sum(channel.log[a][b][c] for a, b, c in zip(x, x[1:], x[2:]))
+
+    rng = random.Random(4)
+    tokens = ["1d!0t", "s.t-u!p", "@$$", "b00kk", "**ab", "\u0430bb1", "5e..l7"] + ["".join(rng.choices("aeprst10$!.-*", k=6)) for _ in range(40)]
+    for token in tokens:
+        places = channel._places(token)
+        paths = {"".join(out for out, _ in outs): value(outs) for outs in sorted(itertools.product(*places), key=value)}
+        assert paths[channel.decode(places)] == pytest.approx(max(paths.values()))
+
+
+def test_a_long_token_is_decoded_in_linear_memory(channel):
+    assert channel.token("sc*m-" * 40_000).count("scum") == 40_000
+
+
 def test_toxicity_on_held_out_rows(spark, odd, clashing, empty):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
