@@ -56,14 +56,17 @@ def check_references(t: Tables) -> DataFrame:
     edges = [fk for fk in schema.FOREIGN_KEYS if fk.child in t and fk.parent in t]
     number = {name: i for i, name in enumerate(dict.fromkeys(fk.parent for fk in edges))}
     slot = {fk: [e for e in edges if e.parent == fk.parent].index(fk) for fk in edges}
+    width = max(slot.values(), default=0) + 2
     tagged = []
     for name in t.names():
-        entries = [(fk.column, number[fk.parent], slot[fk]) for fk in edges if fk.child == name]
-        entries += [(c, number[name], -1) for c in dict.fromkeys(fk.parent_column for fk in edges if fk.parent == name)]
+        entries = [(fk.column, number[fk.parent] * width + slot[fk] + 1) for fk in edges if fk.child == name]
+        entries += [(c, number[name] * width) for c in dict.fromkeys(fk.parent_column for fk in edges if fk.parent == name)]
         if entries:
-            rows = F.array(*[F.struct(F.lit(p).alias("parent"), F.col(c).cast("bigint").alias("key"), F.lit(i).alias("slot"))
-                             for c, p, i in entries])
-            tagged.append(t.get(name, *dict.fromkeys(c for c, _, _ in entries)).select(F.inline(rows)).filter(F.col("key").isNotNull()))
+            # Unpivoted columns are named by a code of parent and slot, and their name is read as that number.
+            coded = t.get(name, *dict.fromkeys(c for c, _ in entries)).select(*[F.col(c).cast("bigint").alias(str(code)) for c, code in entries])
+            long = coded.unpivot([], [str(code) for _, code in entries], "code", "key").filter(F.col("key").isNotNull())
+            code = F.col("code").cast("int")
+            tagged.append(long.select(F.expr(f"cast(code AS int) div {width}").alias("parent"), "key", (code % width - 1).alias("slot")))
     if not tagged:
         return _row("fk_orphan", "", None, t.spark.range(0).select(F.lit(0).alias("n_bad")))
     slots = range(max(slot.values()) + 1)
