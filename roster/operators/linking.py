@@ -24,6 +24,7 @@ from roster.functions import text
 from roster.operators.ids import allocate_ids
 from roster.operators.links import LINKS, named_links
 from roster.plans.indexing import dense_index
+from roster.plans.partitions import hashed, spread
 from roster.sources.tables import Tables
 
 
@@ -43,19 +44,20 @@ def link(t: Tables, kind: str, pairs: DataFrame) -> LinkResult:
     a, b = spec.a, spec.b
     keyed = set(schema.table(spec.table).primary_key) == {a, b}
     req = pairs.select(F.col(pairs.columns[0]).alias(a), F.col(pairs.columns[1]).alias(b))
-    if keyed:
-        req = req.distinct()
+    tasks = t.tasks(spec.table)
     out = req
+    if keyed:
+        # Both sides are dealt out by the pair, so this join goes first and moves neither.
+        req = spread(req, tasks, a, b).distinct()
+        out = req.join(t.get(spec.table, a, b).withColumn("__exists", F.lit(True)), [a, b], "left")
     for col, flag in ((a, "__has_a"), (b, "__has_b")):
         fk = _parent_fk(spec.table, col)
         parent = t.get(fk.parent, fk.parent_column).select(F.col(fk.parent_column).alias(col)) \
                   .withColumn(flag, F.lit(True))
-        out = out.join(parent, col, "left")
+        out = out.join(hashed(parent, tasks), col, "left")
     outcome = (F.when(F.col("__has_a").isNull(), "unknown_a")
                .when(F.col("__has_b").isNull(), "unknown_b"))
     if keyed:
-        existing = t.get(spec.table, a, b).withColumn("__exists", F.lit(True))
-        out = out.join(existing, [a, b], "left")
         outcome = outcome.when(F.col("__exists"), "exists")
     out = out.withColumn("outcome", outcome.otherwise("added")).select(a, b, "outcome")
     added = out.filter(F.col("outcome") == "added").select(a, b)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from roster import schema
 from roster.plans import broadcast as bc
 from roster.plans.indexing import dense_index
+from roster.plans.partitions import spread, tasks_for
 from roster.sources.tables import Tables
 
 SOURCE_SCHEMAS = {
@@ -53,6 +54,13 @@ DERIVED_FROM = {
     "cancellation": ("events",), "guardianship": ("lineitem", "orders"), "teaches": ("lineitem",), "qualified": ("lineitem", "part"),
 }
 
+#: The source table whose rows bound those of a model table; the small ones are left out.
+SIZED_BY = {
+    "phone": "customer", "person": "customer", "student": "customer", "class_group": "part", "plan": "part", "session": "events",
+    "attendance": "events", "cancellation": "events", "invoice": "orders", "enrollment": "lineitem", "student_plan": "lineitem",
+    "guardianship": "lineitem", "teaches": "lineitem",
+}
+
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -77,6 +85,11 @@ def _typed(df: DataFrame, name: str) -> DataFrame:
 def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     src = lru_cache(maxsize=None)(lambda name: read_source(spark, sf_dir, name))
     holder: dict[str, Tables] = {}
+    # Parquet keeps row counts in its footers.
+    rows = lru_cache(maxsize=None)(lambda name: src(name).count())
+
+    def lines() -> int:
+        return tasks_for(spark, rows("lineitem"))
 
     def t() -> Tables:
         return holder["tables"]
@@ -186,7 +199,11 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
         li = src("lineitem")
         if line_filter is not None:
             li = li.filter(line_filter)
-        return li.join(src("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return li.join(spread(src("orders"), lines(), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def _distinct_pairs(pairs, name):
+        # Nearly every line has a pair of its own, so little is lost by dealing them out before they are made distinct.
+        return _typed(spread(pairs, lines(), *pairs.columns).distinct(), name)
 
     def enrollment(cols):
         pairs = _line_orders().select((F.col("o_custkey") * 2).alias("student_id"),
@@ -196,7 +213,8 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
             return pairs.select(F.lit(None).cast("bigint").alias("id"), "student_id", "class_id")
         # Order (customer, part) fixes both output columns; order key and line number only refine it so
         # the range partitioner can split a hot customer over several partitions.
-        numbered = dense_index(pairs, ["o_custkey", "class_id"], tiebreak=["l_orderkey", "l_linenumber"])
+        numbered = dense_index(pairs, ["o_custkey", "class_id"], tiebreak=["l_orderkey", "l_linenumber"],
+                               num_partitions=lines() or None)
         return _typed(numbered, "enrollment")
 
     def plan(cols):
@@ -227,18 +245,16 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def student_plan(cols):
         j = _line_orders(F.col("l_linenumber") == 1)
-        return _typed(j.select((F.col("o_custkey") * 2).alias("student_id"),
-                               F.col("l_partkey").alias("plan_id")).distinct(), "student_plan")
+        return _distinct_pairs(j.select((F.col("o_custkey") * 2).alias("student_id"), F.col("l_partkey").alias("plan_id")), "student_plan")
 
     def guardianship(cols):
         j = _line_orders(F.col("l_linenumber") == 2)
-        return _typed(j.select((F.col("o_custkey") * 2).alias("student_id"),
-                               (F.col("l_suppkey") * 2 + 1).alias("guardian_id")).distinct(), "guardianship")
+        return _distinct_pairs(j.select((F.col("o_custkey") * 2).alias("student_id"),
+                                        (F.col("l_suppkey") * 2 + 1).alias("guardian_id")), "guardianship")
 
     def teaches(cols):
         li = src("lineitem")
-        return _typed(li.select((F.col("l_suppkey") * 2 + 1).alias("instructor_id"),
-                                F.col("l_partkey").alias("class_id")).distinct(), "teaches")
+        return _distinct_pairs(li.select((F.col("l_suppkey") * 2 + 1).alias("instructor_id"), F.col("l_partkey").alias("class_id")), "teaches")
 
     def qualified(cols):
         # The pairs are distinct at the end; making those of ``teaches`` distinct first would only add an exchange of its size.
@@ -259,5 +275,7 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     max_ids = {"enrollment": lambda: t().get("enrollment", "class_id").agg(F.count(F.lit(1)).cast("bigint")).scalar()}
     holder["tables"] = Tables(spark, builders, sources, origin=sf_dir, max_ids=max_ids,
                               projection_aware={"enrollment", "class_group"},
-                              lineage={n: [f"{sf_dir}/{s}.parquet" for s in own] for n, own in DERIVED_FROM.items()})
+                              lineage={n: [f"{sf_dir}/{s}.parquet" for s in own] for n, own in DERIVED_FROM.items()},
+                              sizes={n: (lambda s=s: rows(s)) for n, s in SIZED_BY.items()},
+                              dealt={"student_plan", "guardianship", "teaches"})
     return holder["tables"]

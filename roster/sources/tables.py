@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roster import schema
 from roster.plans import broadcast as bc
+from roster.plans.partitions import tasks_for
 
 Builder = Callable[[tuple[str, ...] | None], DataFrame]
 
@@ -22,7 +23,8 @@ class Tables:
                  sources: Mapping[str, Callable[[], DataFrame]] | None = None, origin: str | None = None,
                  max_ids: Mapping[str, Callable[[], Column]] | None = None,
                  projection_aware: Iterable[str] = (), marks: Mapping[str, Callable[[], Column]] | None = None,
-                 lineage: Mapping[str, Sequence[str]] | None = None):
+                 lineage: Mapping[str, Sequence[str]] | None = None,
+                 sizes: Mapping[str, Callable[[], int]] | None = None, dealt: Iterable[str] = ()):
         unknown = set(builders) - set(schema.TABLE_NAMES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
@@ -41,6 +43,10 @@ class Tables:
         # Builders that do less work for fewer columns get the requested columns; the others are built once
         # per table set and projected, so any checks they run are not repeated.
         self._projection_aware = set(projection_aware)
+        # About how many rows a table has (an upper bound where it is derived from a larger one), where that is cheap to know.
+        self._sizes = dict(sizes or {})
+        # Tables whose rows are already dealt out by their primary key when they are large.
+        self.dealt = frozenset(dealt)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> "Tables":
@@ -82,6 +88,11 @@ class Tables:
         df = self.get(name, *cols)
         return bc.fixed(df) if self._small[name] else df
 
+    def tasks(self, name: str) -> int:
+        """Tasks to deal the rows of a table out to; 0 if the session's number will do or the size is unknown. A changed
+        table counts as the one it was made from."""
+        return tasks_for(self.spark, self._sizes[name]()) if name in self._sizes else 0
+
     def max_id(self, name: str, id_col: str = "id") -> Column:
         """Largest ``id_col`` of ``name`` (NULL when empty) as a scalar-subquery column."""
         if name in self._max_ids and id_col == "id":
@@ -110,4 +121,5 @@ class Tables:
         max_ids = {n: f for n, f in self._max_ids.items() if n not in builders}
         marks = self._marks | {n: (lambda n=n: self.high_water(n)) for n in builders if n in schema.AUTO_INCREMENT and n in self}
         aware = self._projection_aware | set(builders) if projection_aware else self._projection_aware - set(builders)
-        return Tables(self.spark, {**self._builders, **builders}, self._sources, self.origin, max_ids, aware, marks)
+        return Tables(self.spark, {**self._builders, **builders}, self._sources, self.origin, max_ids, aware, marks,
+                      sizes=self._sizes, dealt=self.dealt - set(builders))
