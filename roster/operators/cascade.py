@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roster import schema
+from roster.plans.partitions import hashed, spread
 from roster.session import ensure_checkpoint_dir
 from roster.sources.tables import Tables
 
@@ -86,7 +87,7 @@ def delete_cascade(t: Tables, root: str, keys: DataFrame, materialize: bool = Tr
         if any(c.on_delete in (schema.CASCADE, schema.SET_NULL) for c in schema.children_of(name)):
             tpk = list(schema.table(name).primary_key)
             parts = [t.get(name, *dict.fromkeys([*tpk, fk.column])).join(
-                        deleted_keys[fk.parent].select(F.col(_key_of(fk)).alias(fk.column)), fk.column, "left_semi")
+                        hashed(deleted_keys[fk.parent].select(F.col(_key_of(fk)).alias(fk.column)), t.tasks(name)), fk.column, "left_semi")
                      .select(*tpk) for fk in incoming]
             deleted_keys[name] = _pin(reduce(DataFrame.unionByName, parts), materialize)
 
@@ -104,7 +105,8 @@ def delete_cascade(t: Tables, root: str, keys: DataFrame, materialize: bool = Tr
             if name == root:
                 df = df.join(accepted, pk, "left_anti")
             for fk in drop:
-                df = df.join(deleted_keys[fk.parent].select(F.col(_key_of(fk)).alias(fk.column)), fk.column, "left_anti")
+                gone = hashed(deleted_keys[fk.parent].select(F.col(_key_of(fk)).alias(fk.column)), t.tasks(name))
+                df = df.join(gone, fk.column, "left_anti")
             for fk in clear:
                 if fk.column not in df.columns:
                     continue
@@ -194,9 +196,9 @@ def explain_delete(t: Tables, root: str, keys: DataFrame) -> DataFrame:
                 moved = [F.when(F.col("bits").bitwiseAND(F.lit(1 << chains[fk.parent].index(c[:-1]))) != 0, F.lit(1 << i)).otherwise(0)
                          for i, c in enumerate(chains[name]) if c[-1] == fk and c[:-1] in chains[fk.parent]]
                 parents = reached[fk.parent].select(F.col(_key_of(fk)).alias(fk.column), reduce(Column.bitwiseOR, moved).cast("long").alias("bits"))
-                met.append(t.get(name, *dict.fromkeys([*own, fk.column])).join(parents, fk.column).select(*own, "bits"))
+                met.append(t.get(name, *dict.fromkeys([*own, fk.column])).join(hashed(parents, t.tasks(name)), fk.column).select(*own, "bits"))
             if met:
-                rows = reduce(DataFrame.unionByName, met).groupBy(*own).agg(F.bit_or("bits").alias("bits"))
+                rows = spread(reduce(DataFrame.unionByName, met), t.tasks(name), *own).groupBy(*own).agg(F.bit_or("bits").alias("bits"))
                 if outcome == "deleted":
                     onward = any(fk.on_delete in (schema.CASCADE, schema.SET_NULL) for fk in schema.children_of(name))
                     reached[name] = rows = _pin(rows, onward)
