@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roster.functions import text
+from roster.plans.partitions import hashed
 from roster.sources.tables import Tables
 
 
@@ -40,7 +41,10 @@ def named_links(t: Tables, kind: str) -> DataFrame:
     pa = t.get("person", "id", "name").select(F.col("id").alias("_pa"), F.col("name").alias("a_name"))
     pb_src = t.dim(spec.b_table, spec.b_key, "name") if spec.b_table == "sport" else t.get(spec.b_table, spec.b_key, "name")
     pb = pb_src.select(F.col(spec.b_key).alias("_pb"), F.col("name").alias("b_name"))
-    j = link.join(pa, F.col(spec.a) == F.col("_pa")).join(pb, F.col(spec.b) == F.col("_pb"))
+    tasks = t.tasks(spec.table)
+    # Links are many a person and a class: hashing those leaves the links unsorted.
+    pb = pb if spec.b_table == "sport" else hashed(pb, tasks)
+    j = link.join(hashed(pa, tasks), F.col(spec.a) == F.col("_pa")).join(pb, F.col(spec.b) == F.col("_pb"))
     return j.select(F.col(spec.a).alias("a"), F.col(spec.b).alias("b"), "a_name",
                     text.link_label(kind, "a_name", "b_name").alias("label"))
 
