@@ -79,8 +79,10 @@ def unlink(t: Tables, kind: str, pairs: DataFrame) -> LinkResult:
     a, b = spec.a, spec.b
     req = pairs.select(F.col(pairs.columns[0]).alias(a), F.col(pairs.columns[1]).alias(b))
     current = t.get(spec.table)
-    asked = req.groupBy(a, b).agg(F.count(F.lit(1)).alias("asked"))
-    if set(schema.table(spec.table).primary_key) == {a, b}:
+    keyed = set(schema.table(spec.table).primary_key) == {a, b}
+    # Copies of a pair can be many where the pair is no key: those joins are left to Spark's exchange.
+    asked = spread(req, t.tasks(spec.table) if keyed else 0, a, b).groupBy(a, b).agg(F.count(F.lit(1)).alias("asked"))
+    if keyed:
         held = current.select(a, b).withColumn("held", F.lit(1).cast("bigint"))
         new_table = current.join(asked.select(a, b), [a, b], "left_anti")
     else:
