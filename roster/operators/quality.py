@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from roster import schema
 from roster.functions import text
+from roster.plans.partitions import spread
 from roster.sources.tables import Tables
 
 # The date bounds of the reference forms.
@@ -39,7 +40,8 @@ def check_keys(t: Tables) -> DataFrame:
     for name in t.names():
         pk = list(schema.table(name).primary_key)
         # One grouped pass gives both checks: key values held by several rows, and rows whose key has a NULL.
-        groups = t.get(name, *pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("c"))
+        keys = t.get(name, *pk) if name in t.dealt else spread(t.get(name, *pk), t.tasks(name), *pk)
+        groups = keys.groupBy(*pk).agg(F.count(F.lit(1)).alias("c"))
         has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
         both = groups.agg(F.count(F.when(F.col("c") > 1, F.lit(1))).alias("pk_duplicate"),
                           F.coalesce(F.sum(F.when(has_null, F.col("c"))), F.lit(0)).alias("pk_null"))

@@ -25,7 +25,7 @@ SOURCES = {
     "events": (900, ["id", "timestamp_ntz '1995-01-02 03:00:00'", "id % 90", "if(id % 9 = 0, 'error', 'view')", "1d", "'{}'"]),
 }
 
-NAMED = ["link_teaches", "cascade_person_rows", "link_label_index_teaches", "unlink_teaches_outcomes", "link_teaches_rows", "unlink_teaches"]
+NAMED = ["link_teaches", "cascade_person_rows", "link_label_index_teaches", "unlink_teaches_outcomes", "link_teaches_rows", "unlink_teaches", "check_pk"]
 SHARED = ["link_student_plan", "link_guardianship_rows", "unlink_student_plan", "link_label_index", "link_enrollment", "cascade_person", "unlink_one"]
 
 
