@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from roster import schema
 from roster.plans import broadcast as bc
 from roster.plans.indexing import dense_index
-from roster.plans.partitions import spread, tasks_for
+from roster.plans.partitions import kept_tasks, spread
 from roster.sources.tables import Tables
 
 SOURCE_SCHEMAS = {
@@ -89,7 +89,7 @@ def star_schema_tables(spark: SparkSession, sf_dir: str) -> Tables:
     rows = lru_cache(maxsize=None)(lambda name: src(name).count())
 
     def lines() -> int:
-        return tasks_for(spark, rows("lineitem"))
+        return kept_tasks(spark, rows("lineitem"))
 
     def t() -> Tables:
         return holder["tables"]

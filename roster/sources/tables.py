@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roster import schema
 from roster.plans import broadcast as bc
-from roster.plans.partitions import tasks_for
+from roster.plans.partitions import kept_tasks
 
 Builder = Callable[[tuple[str, ...] | None], DataFrame]
 
@@ -89,9 +89,9 @@ class Tables:
         return bc.fixed(df) if self._small[name] else df
 
     def tasks(self, name: str) -> int:
-        """Tasks to deal the rows of a table out to; 0 if the session's number will do or the size is unknown. A changed
+        """Tasks to deal the rows of a table out to; 0 if they can be left to AQE or the size is unknown. A changed
         table counts as the one it was made from."""
-        return tasks_for(self.spark, self._sizes[name]()) if name in self._sizes else 0
+        return kept_tasks(self.spark, self._sizes[name]()) if name in self._sizes else 0
 
     def max_id(self, name: str, id_col: str = "id") -> Column:
         """Largest ``id_col`` of ``name`` (NULL when empty) as a scalar-subquery column."""

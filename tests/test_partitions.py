@@ -1,5 +1,6 @@
 """Rows a task: tables of many rows are dealt out to as many tasks as they need, with the rows that small ones give."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -80,6 +81,30 @@ def test_tasks_for(spark, monkeypatch):
     assert partitions.tasks_for(spark, n * 10**9) == partitions.MOST_TASKS
 
 
+def test_aqe_keeps_the_tasks_of_the_lines(spark, sources, monkeypatch):
+    name = "link_teaches_rows"
+    want = _rows(QUERIES[name].job(star_schema_tables(spark, sources)))
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The session's own number of partitions leaves few enough rows to a task, if AQE doesn't join them.
+    monkeypatch.setattr(partitions, "ROWS_PER_TASK", -(-LINES // (own - 1)))
+    assert partitions.tasks_for(spark, LINES) == 0
+    df = entry.queries()[name](spark, sources)
+    assert _rows(df) == want
+    dealt = re.findall(r"Exchange hashpartitioning\(instructor_id#\d+L, class_id#\d+L, (\d+)\), (\w+)", df._jdf.queryExecution().toString())
+    assert set(dealt) == {(str(own), "REPARTITION_BY_NUM")}
+
+
+def test_kept_tasks(spark, monkeypatch):
+    n, own = partitions.ROWS_PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = partitions.AQE_TASKS
+    assert [partitions.kept_tasks(spark, r) for r in (0, n, n * few, n * few + 1, n * own, n * own + 1)] == [0, 0, 0, own, own, own + 1]
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        assert [partitions.kept_tasks(spark, n * k) for k in (few, 10, 600, 3000)] == [0, 10 * partitions.SPARE, 2000, 3000]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(own))
+
+
 def test_a_changed_table_keeps_its_size(spark, sources, monkeypatch):
     monkeypatch.setattr(partitions, "ROWS_PER_TASK", A_TASK)
     t = star_schema_tables(spark, sources)
