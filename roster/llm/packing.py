@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from roster.llm.pretokens import ChunkEncoder
 from roster.llm.shared import slices
 
 END_ID = 1
@@ -52,8 +51,8 @@ def token_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, special: bool = True) -> ChunkEncoder:
-    """Ids of a byte-level BPE ``tokenizers`` file. A string of a special token in a text gives that token, as in the library
+def tokenizer(path: str, special: bool = True) -> Callable[[list[str | None]], list[bytes]]:
+    """Ids of a byte-level BPE ``tokenizers`` file, little-endian unsigned 32 bits (null: none). A string of a special token in a text gives that token, as in the library
     unless told otherwise; with ``special`` false it is ordinary text.
 
     Such a file's ids are in the order of its merges, so they serve as ranks of the faster ``tiktoken`` encoder, which
@@ -71,14 +70,14 @@ def tokenizer(path: str, special: bool = True) -> ChunkEncoder:
             merged != sorted(merged) or len(merged) + 256 != len(ranks) or any(" " in t or not t for t in added) or \
             any(t[flag] for t in file["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError(f"{path} isn't a plain byte-level BPE file with ids in the order of merges")
-    encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
+    encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    allowed = "all" if special else set()
 
-    def encode(piece: str) -> list[int]:
-        if special and any(t in piece for t in added):      # a special token has no space, so no chunk cuts it
-            return encoding.encode(piece, allowed_special="all")
-        return encoding.encode_ordinary(piece)
+    def encode(texts: list[str | None]) -> list[bytes]:     # one call a text: words of their own cost more than the encoder
+        found = (encoding.encode_to_numpy(t or "", allowed_special=allowed, disallowed_special=()) for t in texts)
+        return [ids.astype("<u4", copy=False).tobytes() for ids in found]
 
-    return ChunkEncoder(lambda pieces: [np.array(encode(p), dtype="<u4").tobytes() for p in pieces])
+    return encode
 
 
 def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[int]]:

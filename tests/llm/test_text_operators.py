@@ -280,6 +280,21 @@ def test_the_tokenizers_file_gives_the_same_ids(odd):
         assert [np.frombuffer(b, "<u4").tolist() for b in own] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_the_encoder_is_called_once_a_text(monkeypatch):
+    """Words of their own cost more than the encoder: about twice its time on texts of many rare words."""
+    import tiktoken
+
+    calls = collections.Counter()
+    for name in ("encode", "encode_ordinary", "encode_to_numpy"):
+        def counted(self, text, *args, given=getattr(tiktoken.Encoding, name), name=name, **kwargs):
+            calls[name] += 1
+            return given(self, text, *args, **kwargs)
+        monkeypatch.setattr(tiktoken.Encoding, name, counted)
+    texts = [None, "", *(" ".join(f"w{i}x{k}" for k in range(500)) for i in range(3))]
+    own = packing.tokenizer.__wrapped__(P.path("byte_bpe_50k.json"))(texts)
+    assert sum(calls.values()) <= len(texts) and own[:2] == [b"", b""] and all(own[2:])
+
+
 def test_packing_counts_loss_without_the_prompt(spark):
     docs = spark.createDataFrame([(1, "an answer of some words", "a question"), (2, "x " * 3000, "")], "doc_id long, text string, p string")
     rows = collected(packing.pack(docs, P.path("byte_bpe_50k.json"), packing.Limits(2048, 8, 900), prompt="p"))
